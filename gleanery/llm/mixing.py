@@ -97,18 +97,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 OP6_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
-             CAST(row_number() OVER (ORDER BY source NULLS LAST) AS INTEGER) AS at FROM d GROUP BY source),
+             CAST(row_number() OVER (ORDER BY source NULLS LAST) AS INTEGER) AS nth FROM d GROUP BY source),
 fill(step, capped) AS (
   SELECT 0, CAST([] AS INTEGER[])
   UNION ALL
-  SELECT step + 1, (SELECT coalesce(list(at), CAST([] AS INTEGER[])) FROM s,
-      (SELECT sum(source_size) - coalesce(sum(3 * source_size) FILTER (list_contains(capped, at)), 0) AS rest, sum(weight) FILTER (NOT list_contains(capped, at)) AS open FROM s) r
-      WHERE list_contains(capped, at) OR weight * r.rest > 3 * source_size * r.open)
+  SELECT step + 1, (SELECT coalesce(list(nth), CAST([] AS INTEGER[])) FROM s,
+      (SELECT sum(source_size) - coalesce(sum(3 * source_size) FILTER (list_contains(capped, nth)), 0) AS rest, sum(weight) FILTER (NOT list_contains(capped, nth)) AS open FROM s) r
+      WHERE list_contains(capped, nth) OR weight * r.rest > 3 * source_size * r.open)
   FROM fill WHERE step < 30),
 last AS (SELECT capped FROM fill WHERE step = 30),
-t AS (SELECT s.source, source_size, CASE WHEN list_contains(capped, at) THEN CAST(3 * source_size AS DOUBLE)
-       ELSE CAST(weight * ((SELECT sum(source_size) FROM s) - (SELECT coalesce(sum(3 * source_size), 0) FROM s, last WHERE list_contains(capped, at))) AS DOUBLE)
-            / CAST((SELECT sum(weight) FROM s, last WHERE NOT list_contains(capped, at)) AS DOUBLE) END AS target FROM s, last),
+t AS (SELECT s.source, source_size, CASE WHEN list_contains(capped, nth) THEN CAST(3 * source_size AS DOUBLE)
+       ELSE CAST(weight * ((SELECT sum(source_size) FROM s) - (SELECT coalesce(sum(3 * source_size), 0) FROM s, last WHERE list_contains(capped, nth))) AS DOUBLE)
+            / CAST((SELECT sum(weight) FROM s, last WHERE NOT list_contains(capped, nth)) AS DOUBLE) END AS target FROM s, last),
 o AS (SELECT doc_id, d.source, size, source_size, target, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS BIGINT) AS whole,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY sha256('42|' || doc_id || '|' || size), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
