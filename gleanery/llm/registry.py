@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, topk_search, url_filter, warc
+from . import chat, exact_dedup, mixing, substring_dedup, topk_search, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op4_warc": warc.op4_warc,
         "op6_mixing": mixing.op6_mixing,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op2_chat_formatting": chat.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op6_mixing": mixing.OP6_SQL,
