@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, substring_dedup, topk_search, url_filter, warc
+from . import chat, exact_dedup, mixing, substring_dedup, topk_search, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_warc": warc.op4_warc,
         "op6_mixing": mixing.op6_mixing,
         "op7_url_filter": url_filter.op7_url_filter,
