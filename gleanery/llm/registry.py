@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, substring_dedup, topk_search, toxicity, url_filter, warc
+from . import chat, exact_dedup, minhash, mixing, substring_dedup, topk_search, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_topk_search": topk_search.op9_topk_search,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict:
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_topk_search": topk_search.OP9_SQL,
+        "op10_minhash": minhash.OP10_SQL,
     }
