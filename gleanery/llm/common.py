@@ -67,6 +67,7 @@ def text_bytes(column) -> list[bytes]:
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BLOCK = 1 << 19
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -98,9 +99,18 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, alike wherever the word stands."""
+    """A 64-bit hash of each word's bytes, alike wherever the word stands. Works in blocks of whole words."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if len(starts) > 1 and len(raw) > _BLOCK:
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(_BLOCK, len(raw), _BLOCK)), [len(starts)]]))
+        if len(cuts) > 2:
+            parts = ((int(starts[a]), int(ends[a:b].max()), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            return np.concatenate([_hashes(raw[lo:hi], starts[own] - lo, ends[own] - lo) for lo, hi, own in parts])
+    return _hashes(raw, starts, ends)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _table(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])

@@ -32,7 +32,7 @@ DEPTH = 20
 GRAM = 8
 RUN = 64
 GROUP = 1 << 20
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 _LAST_ID = (1 << 63) - 1
 
 ROUTED = "route long, kind int, doc_id long, text_key long, data binary"
