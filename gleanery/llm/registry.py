@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, mixing, substring_dedup, topk_search, toxicity, url_filter, warc
+from . import chat, exact_dedup, minhash, mixing, sentencepiece, substring_dedup, topk_search, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_warc": warc.op4_warc,
+        "op5_sentencepiece": sentencepiece.op5_sentencepiece,
         "op6_mixing": mixing.op6_mixing,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
