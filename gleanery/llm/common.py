@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -45,8 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of stages whose output has been materialised."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the cleaner learns of dead plans by the collector's reports, a moment later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession, factor: int = 1) -> int:
