@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # Fixed rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -76,9 +78,10 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     so a host with a third of all rows is one row per task. An empty table gives an empty table.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # each level is read several times below; written once, the plans above it stay small
+    hosts = materialise(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))), "hosts")
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     corpus = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + F.lit(1.0)) / (F.coalesce(F.sum("n"), F.lit(0.0)) + F.lit(2.0))).alias("p_corpus"))
 
     def posterior(table: DataFrame, prior: str, level: str) -> DataFrame:
@@ -90,7 +93,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         return rows.withColumn(f"p_{level}", alpha / total).withColumn(f"total_{level}", total)
 
     suffix_rows = posterior(suffixes.join(F.broadcast(corpus)), "p_corpus", "suffix").select("suffix", "p_suffix")
+    suffix_rows = materialise(suffix_rows, "suffix-posterior")
     domain_rows = posterior(domains.join(suffix_rows, "suffix"), "p_suffix", "domain").select("domain", "p_domain")
+    domain_rows = materialise(domain_rows, "domain-posterior")
     rows = posterior(hosts.join(domain_rows, "domain"), "p_domain", "host")
     deviation = F.sqrt(F.col("p_host") * (F.lit(1.0) - F.col("p_host")) / (F.col("total_host") + F.lit(1.0)))
     return rows.select("host", "domain", "suffix", "n", "bad", F.col("p_host").alias("mean"), F.greatest(F.lit(0.0), F.col("p_host") - F.lit(Z) * deviation).alias("lower"))
