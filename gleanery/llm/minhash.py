@@ -5,11 +5,12 @@ rest in each bucket is kept as a 16-bit register: leading-zero count and MANTISS
 the first non-empty one in an order of their own, so that short sets fill all bands. ROWS registers make a band; sets of one
 Jaccard similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS (1 - 5e-11 at 0.85 for 32 bands of 4).
 
-Documents with equal sets are one node. In each band bucket pivots are taken, and a pivot's pairs with nodes of
-other components pass a size test, then the collision-corrected Jaccard estimate of the registers (five deviations
-below the threshold), then the exact comparison of full sets. Links feed the components, and a bucket is done when
-its untaken nodes lie in one component: no pair of different components is left untested, yet a group of m near copies
-costs about m comparisons, not m * m. Pivots and minima are folded before exchanges; no bucket is gathered in a task.
+Documents with equal sets are one node. In each band bucket the least node is the pivot: its pairs with the bucket's
+other nodes pass a size test, then the collision-corrected Jaccard estimate of the registers (five deviations below the
+threshold), then the exact comparison of full sets. Links feed the components. Buckets whose other nodes then lie in one
+component are done; in the rest, sketches are compared block against block of at most about BLOCK nodes, and what passes
+size and estimate between different components is compared exactly. So no link between components is lost, a tight
+group of m near copies costs about m comparisons, and no bucket is gathered in a task.
 """
 
 from __future__ import annotations
@@ -19,15 +20,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialise, mix64, release_shuffles, text_bytes, word_hashes, word_spans
+from .common import gram_hashes, materialise, mix64, partitions, release_shuffles, text_bytes, word_hashes, word_spans
 from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
-PIVOTS = 16
+BLOCK = 512
 # Expected share of registers of different sets that agree by chance: 0.1699 * 2**(p - r) of 2**p (published constant).
 COLLISIONS = 0.169919487159739 * 2.0 ** (7 - MANTISSA) / REGISTERS
 _LAST_ID = (1 << 63) - 1
@@ -103,15 +103,70 @@ def _estimated(percent: int):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             n = np.maximum(batch.column(4).to_numpy(), 1)
             share = (a == b).mean(1)
-            jaccard = np.clip((share - COLLISIONS) / (1 - COLLISIONS), 0, 1)
-            s = percent / 100
-            slack = 5 * np.sqrt(s * (1 - s) / np.maximum(1, np.minimum(REGISTERS, n) / 2))
-            keep = pa.array(jaccard >= s - slack - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jaccard)], names=["a", "b", "estimate"]).filter(keep)
+            keep = pa.array(_passes(share, n, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "estimate"]).filter(keep)
 
     return run
 
 
+def _passes(share: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the collision-corrected estimate of the Jaccard similarity is within five deviations of the threshold; n: smaller set's size."""
+    s = percent / 100
+    slack = 5 * np.sqrt(s * (1 - s) / np.maximum(1, np.minimum(REGISTERS, n) / 2))
+    return np.clip((share - COLLISIONS) / (1 - COLLISIONS), 0, 1) >= s - slack - 1e-9
+
+
+def _blocked(live: DataFrame) -> DataFrame:
+    """`live` with block, and a row for each pair of blocks (lo <= hi) the row's block takes part in: no group passes 2 * BLOCK rows or so."""
+    sizes = live.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("__k"))
+    rows = live.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("__k")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    return rows.withColumn("lo", F.least("block", "__other")).withColumn("hi", F.greatest("block", "__other")).drop("__k", "__other")
+
+
+def _compared(percent: int):
+    """Pairs of different components whose sizes and estimates allow a link; each pair only in its first common band."""
+
+    def pairs(rows: list[tuple]):
+        band, lo, hi = rows[0][:3]
+        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        keys = np.stack([band_keys(x) for x in sketch]).view(np.int64)
+        n, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
+        comp = np.unique([r[6] for r in rows], return_inverse=True)[1]
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            j = j[(comp[j] != comp[i]) & (100 * low >= percent * high) & ((block[j] != block[i]) | (lo == hi))]
+            if len(j):
+                share = (sketch[j] == sketch[i]).mean(1)
+                j = j[_passes(share, np.minimum(n[i], n[j]), percent)]
+            for k in j:
+                if keys[i, (keys[i] == keys[k]).argmax()] == band:
+                    yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
+
+    def run(batches):
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    out.extend(pairs(held))
+                    held = []
+                    if len(out) > 10_000:
+                        yield _pairs_batch(out)
+                        out = []
+                held.append(row)
+        if held:
+            out.extend(pairs(held))
+        yield _pairs_batch(out)
+
+    return run
+
+
+def _pairs_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+
+
 def _verified(width: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -174,31 +229,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = materialise(texts, "texts")
     release_shuffles(spark)
     sketches = nodes.select("node", "sketch")
-    turn = 0
-    while True:
-        live = materialise(_live(entries, labels), "live") if turn else entries.withColumn("comp", F.col("node"))
-        if turn and live.isEmpty():
-            break
-        count = PIVOTS if turn else 1
-        order = lambda i: F.struct(F.xxhash64(F.lit(turn * 100 + i), "node") if turn else F.lit(0), "node", "n", "comp")  # noqa: B023, E731
-        pivots = live.groupBy("band").agg(*[F.min(order(i)).alias(f"p{i}") for i in range(count)])
-        pivots = pivots.select("band", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.node", f"p{i}.n", f"p{i}.comp") for i in range(count)]))).alias("p"))
-        taken = materialise(pivots.select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca")), "pivots")
-        pairs = live.join(taken, "band").where((F.col("comp") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("n", "na").alias("n")).distinct()
-        a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-        pairs = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "n").mapInArrow(_estimated(percent), "a binary, b binary, estimate double"), "pairs")
-        release_shuffles(spark)
-        # first each node's likeliest pair; then the pairs that these links leave in different components
-        best = pairs.withColumn("__r", F.row_number().over(W.partitionBy("b").orderBy(F.col("estimate").desc(), "a")))
-        labels = _relabel(labels, _links(best.where("__r = 1"), texts, width, percent))
-        ca, cb = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        rest = materialise(best.where("__r > 1").join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"), "rest")
-        if not rest.isEmpty():
-            labels = _relabel(labels, _links(rest, texts, width, percent))
-        entries = materialise(entries.join(taken.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti"), "entries")
-        release_shuffles(spark)
-        turn += 1
+    # first every bucket's least node against its others: one turn links most of a tight group, however large
+    taken = materialise(entries.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", F.col("p.node").alias("a"), F.col("p.n").alias("na")), "pivots")
+    pairs = entries.join(taken, "band").where((F.col("node") != F.col("a")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
+    pairs = pairs.select("a", F.col("node").alias("b"), F.least("n", "na").alias("n")).distinct()
+    a, b = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    pairs = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "n").mapInArrow(_estimated(percent), "a binary, b binary, estimate double"), "pairs")
+    labels = _relabel(labels, _links(pairs, texts, width, percent))
+    entries = materialise(entries.join(taken.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti"), "entries")
+    release_shuffles(spark)
+    # then all pairs of different components that are left in a bucket, block against block
+    live = materialise(_live(entries, labels), "live")
+    blocks = _blocked(live).join(sketches, "node")
+    rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "sketch")
+    rest = materialise(rest.mapInArrow(_compared(percent), "a binary, b binary"), "rest")
+    labels = _relabel(labels, _links(rest, texts, width, percent))
+    release_shuffles(spark)
     root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
     high = F.conv(F.hex(F.substring("comp", 1, 4)), 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31))
     low = F.conv(F.hex(F.substring("comp", 5, 4)), 16, 10).cast("long")
