@@ -19,6 +19,7 @@ from ..operators.bm25 import passages
 from ..operators.candidates import match_score, rank_candidates, repair_urls, url_score
 from ..operators.evidence import budget_cut, dedupe_passages, source_relevance, source_score, stop_prefix, top_evidence
 from ..sources.formats import discover_sitemaps, extract_documents, with_mime
+from .storage import keep
 
 FAILED = {"INVALID_URL": "failed", "UNSAFE_SCHEME": "failed", "UNSAFE_PORT": "failed"}
 
@@ -98,10 +99,11 @@ class Engine:
 
     def evidence(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """plan, navigation, sources and evidence."""
-        plan = self.plan(requests)
-        documents = self.documents()
-        observed = self.observed(plan, documents)
-        nav = self.navigation(plan, documents, observed)
+        # stages that several later ones read are kept: pages are parsed once, and plans stay small
+        plan = keep(self.plan(requests))
+        documents = keep(self.documents())
+        observed = keep(self.observed(plan, documents))
+        nav = keep(self.navigation(plan, documents, observed))
         asked = plan.where("error IS NULL").select("query_id", F.col("url").alias("base"), "query", "mode", "max_pages", "max_internal_requests", "as_of")
         root = asked.join(nav.where("resolved").select("query_id", F.col("target").alias("norm")), "query_id").withColumn("rank", F.lit(0))
         others = asked.join(observed, "query_id").join(root.select("query_id", F.col("norm").alias("__root")), "query_id", "left").where("__root IS NULL OR norm <> __root")
@@ -112,9 +114,10 @@ class Engine:
         ranked = others.withColumn("score", score)
         ranked = rank_candidates(self.rank(ranked) if self.rank else ranked, F.col("max_pages") - 1)
         columns = ["query_id", "query", "mode", "max_internal_requests", "norm", "rank"]
+        ranked = keep(ranked)
         visits = budget_cut(root.select(*columns).unionByName(ranked.select(*columns)).withColumn("cost", F.lit(1)), F.col("max_internal_requests"))
         pages = visits.join(documents.where("status = 200"), "norm")
-        found = passages(pages.select("query_id", "norm", "rank", "query", F.col("extracted.text").alias("text")))
+        found = keep(passages(pages.select("query_id", "norm", "rank", "query", F.col("extracted.text").alias("text"))))
         good = found.groupBy("query_id", "norm").agg(F.count_if(F.col("relevance") >= P.GOOD).alias("n_good"))
         kept = stop_prefix(pages.join(good, ["query_id", "norm"], "left").withColumn("n_good", F.coalesce("n_good", F.lit(0))))
         sources = kept.select("query_id", "norm", "rank", F.col("final_url").alias("url"), F.col("extracted.title").alias("title"), "mime", "status", source_score(F.col("status"), F.col("extracted.title")).alias("score"), F.col("extracted.requires_browser").alias("shell"), F.col("extracted.metadata").alias("metadata"))

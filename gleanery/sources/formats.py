@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.mime import detect
-from ..functions.text import bare_links, collapse, plain_text, strip, strip_tags
+from ..functions.text import bare_links, collapse, let, plain_text, strip, strip_tags
 from . import dom
 from .schemas import EXTRACTED, HTML
 
@@ -219,7 +219,7 @@ def extract_documents(fetched: DataFrame, url_col: str = "url", extra: dict[str,
     html = extract_html(rest.where("mime = 'text/html'").select(url_col, F.col("body_text").alias("html")))
     e = F.col("extracted")
     links = F.transform(e["links"], lambda x: F.struct(U.resolve(x["href"], F.col(url_col)).alias("url"), x["anchor_text"].alias("anchor_text"), x["feed"].alias("feed")))
-    own = F.filter(links, lambda x: x["url"].isNotNull() & (x["feed"] | (U.origin(x["url"]) == U.origin(F.col(url_col)))))
+    own = let(U.origin(F.col(url_col)), lambda site: F.filter(links, lambda x: x["url"].isNotNull() & (x["feed"] | (U.origin(x["url"]) == site))))
     own = F.transform(own, lambda x: F.struct(x["url"].alias("url"), x["anchor_text"].alias("anchor_text")))
     meta = F.when(e["canonical"].isNotNull(), F.map_concat(F.map_filter(e["metadata"], lambda k, _: k != "canonical"), F.create_map(F.lit("canonical"), F.coalesce(U.resolve(e["canonical"], F.col(url_col)), e["canonical"])))).otherwise(e["metadata"])
     parts.append(html.select(url_col, F.struct(e["text"].alias("text"), e["title"].alias("title"), own.alias("links"), meta.alias("metadata"), e["requires_browser"].alias("requires_browser"), F.lit(False).alias("requires_ocr")).cast(kind).alias("extracted")))
