@@ -232,7 +232,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows whose text another row stands for; all columns stay as they are."""
     gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 OP8_SQL = """

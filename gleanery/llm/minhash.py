@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the rows that another document of their component stands for; all columns stay."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 OP10_SQL = r"""

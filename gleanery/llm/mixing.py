@@ -91,7 +91,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mix(docs, id_col, text_col, source_col, **options)
     times = F.col("repetitions") + (F.col("partial") * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("long")
     taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(times).cast("int").alias("__times")).where("__times > 0")
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    times = F.explode(F.sequence(F.lit(1), taken["__times"])).alias("__time")
+    return docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).select(*[docs[c] for c in docs.columns], times).select(*[docs[c] for c in docs.columns])
 
 
 OP6_SQL = r"""
