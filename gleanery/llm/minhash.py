@@ -8,8 +8,8 @@ Jaccard similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS (1 -
 Documents with equal sets are one node. In each band bucket the least node is the pivot: its pairs with the bucket's
 other nodes pass a size test, then the collision-corrected Jaccard estimate of the registers (five deviations below the
 threshold), then the exact comparison of full sets. Links feed the components. Buckets whose other nodes then lie in one
-component are done; in the rest, sketches are compared block against block of at most about BLOCK nodes, and what passes
-size and estimate between different components is compared exactly. So no link between components is lost, a tight
+component are done; in the rest, sketches are compared block against block of at most about BLOCK nodes, and what passes size and
+estimate between different components is compared exactly: each node's likeliest pair first, then all that is left. So no link between components is lost, a tight
 group of m near copies costs about m comparisons, and no bucket is gathered in a task.
 """
 
@@ -124,24 +124,30 @@ def _blocked(live: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.least("block", "__other")).withColumn("hi", F.greatest("block", "__other")).drop("__k", "__other")
 
 
-def _compared(percent: int):
-    """Pairs of different components whose sizes and estimates allow a link; each pair only in its first common band."""
+def _compared(percent: int, best: bool):
+    """Pairs of different components whose sizes and estimates allow a link: of each node the likeliest (best), or all, each
+    only in its first common band."""
 
     def pairs(rows: list[tuple]):
         band, lo, hi = rows[0][:3]
         sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        keys = np.stack([band_keys(x) for x in sketch]).view(np.int64)
+        keys = None if best else np.stack([band_keys(x) for x in sketch]).view(np.int64)
         n, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
         comp = np.unique([r[6] for r in rows], return_inverse=True)[1]
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
+        for i in range(len(rows)):
+            j = np.arange(0 if best else i + 1, len(rows))
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             j = j[(comp[j] != comp[i]) & (100 * low >= percent * high) & ((block[j] != block[i]) | (lo == hi))]
-            if len(j):
-                share = (sketch[j] == sketch[i]).mean(1)
-                j = j[_passes(share, np.minimum(n[i], n[j]), percent)]
+            if not len(j):
+                continue
+            share = (sketch[j] == sketch[i]).mean(1)
+            fits = _passes(share, np.minimum(n[i], n[j]), percent)
+            if best:
+                j = j[[share.argmax()]] if fits.any() else j[:0]
+            else:
+                j = j[fits]
             for k in j:
-                if keys[i, (keys[i] == keys[k]).argmax()] == band:
+                if best or keys[i, (keys[i] == keys[k]).argmax()] == band:
                     yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
 
     def run(batches):
@@ -238,13 +244,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     labels = _relabel(labels, _links(pairs, texts, width, percent))
     entries = materialise(entries.join(taken.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti"), "entries")
     release_shuffles(spark)
-    # then all pairs of different components that are left in a bucket, block against block
-    live = materialise(_live(entries, labels), "live")
-    blocks = _blocked(live).join(sketches, "node")
-    rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "sketch")
-    rest = materialise(rest.mapInArrow(_compared(percent), "a binary, b binary"), "rest")
-    labels = _relabel(labels, _links(rest, texts, width, percent))
-    release_shuffles(spark)
+    # then what is left in a bucket between different components, block against block: first each node's likeliest
+    # pair, which links most of what can be linked, and behind that all pairs
+    for best in (True, False):
+        live = materialise(_live(entries, labels), "live")
+        blocks = _blocked(live).join(sketches, "node")
+        rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "sketch")
+        rest = materialise(rest.mapInArrow(_compared(percent, best), "a binary, b binary").distinct(), "rest")
+        labels = _relabel(labels, _links(rest, texts, width, percent))
+        release_shuffles(spark)
     root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
     high = F.conv(F.hex(F.substring("comp", 1, 4)), 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31))
     low = F.conv(F.hex(F.substring("comp", 5, 4)), 16, 10).cast("long")
