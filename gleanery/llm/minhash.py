@@ -8,8 +8,8 @@ Jaccard similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS (1 -
 Documents with equal sets are one node. In each band bucket the least node is the pivot: its pairs with the bucket's
 other nodes pass a size test, then the collision-corrected Jaccard estimate of the registers (five deviations below the
 threshold), then the exact comparison of full sets. Links feed the components. Buckets whose other nodes then lie in one
-component are done; in the rest, sketches are compared block against block of at most about BLOCK nodes, and what passes size and
-estimate between different components is compared exactly: each node's likeliest pair first, then all that is left. So no link between components is lost, a tight
+component are done; in the rest, finer sketches (FINE registers of 4 bits) are compared block against block of at most about BLOCK
+nodes, and what passes size and estimate between different components is compared exactly. So no link between components is lost, a tight
 group of m near copies costs about m comparisons, and no bucket is gathered in a task.
 """
 
@@ -27,12 +27,16 @@ from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
+FINE = 512  # registers of the finer sketch of nodes that share a band, of 4 bits each
 BLOCK = 512
 # Expected share of registers of different sets that agree by chance: 0.1699 * 2**(p - r) of 2**p (published constant).
 COLLISIONS = 0.169919487159739 * 2.0 ** (7 - MANTISSA) / REGISTERS
 _LAST_ID = (1 << 63) - 1
 
 _ORDERS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(99)).reshape(REGISTERS, REGISTERS), axis=1)
+_FINE_ORDERS = np.argsort(mix64(np.arange(FINE * FINE, dtype=np.uint64) + np.uint64(77)).reshape(FINE, FINE), axis=1).astype(np.int16)
+_FINE_SHIFT = np.uint64(64 - 9)
+_FINE_BOUNDS = np.arange(FINE, dtype=np.uint64) << _FINE_SHIFT
 _SHIFT = np.uint64(64 - 7)
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << _SHIFT
 
@@ -67,6 +71,18 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return made
 
 
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Four mixed bits of each of FINE buckets' least hash; empty buckets copy as in `registers`."""
+    at = np.searchsorted(shingles, _FINE_BOUNDS)
+    inside = np.minimum(at, len(shingles) - 1)
+    filled = (at < len(shingles)) & (shingles[inside] >> _FINE_SHIFT == np.arange(FINE, dtype=np.uint64))
+    made = (mix64(shingles[inside]) & np.uint64(15)).astype(np.uint8)
+    if not filled.all():
+        empty = np.flatnonzero(~filled)
+        made[empty] = made[_FINE_ORDERS[empty, filled[_FINE_ORDERS[empty]].argmax(1)]]
+    return made
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     rows = sketch.astype(np.uint64).reshape(BANDS, ROWS)
     packed = rows[:, 0] | rows[:, 1] << np.uint64(16) | rows[:, 2] << np.uint64(32) | rows[:, 3] << np.uint64(48)
@@ -124,30 +140,37 @@ def _blocked(live: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.least("block", "__other")).withColumn("hi", F.greatest("block", "__other")).drop("__k", "__other")
 
 
-def _compared(percent: int, best: bool):
-    """Pairs of different components whose sizes and estimates allow a link: of each node the likeliest (best), or all, each
-    only in its first common band."""
+def _fine(width: int):
+    def run(batches):
+        for batch in batches:
+            made = [fine_sketch(shingle_set(t, width)) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(m[::2] | m[1::2] << 4).tobytes() for m in made], pa.binary())], names=["node", "fine"])
+
+    return run
+
+
+def _fine_passes(share: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """As _passes for the finer sketch, where different sets' registers agree by chance once in 16."""
+    s = percent / 100
+    slack = 5 * np.sqrt(s * (1 - s) / np.maximum(1, np.minimum(FINE, n))) * 16 / 15
+    return (share - 1 / 16) * 16 / 15 >= s - slack - 1e-9
+
+
+def _compared(percent: int):
+    """Pairs of different components whose sizes and finer estimates allow a link; a pair may come from several bands."""
 
     def pairs(rows: list[tuple]):
-        band, lo, hi = rows[0][:3]
-        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        keys = None if best else np.stack([band_keys(x) for x in sketch]).view(np.int64)
+        lo, hi = rows[0][1:3]
+        packed = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        sketch = np.concatenate([packed & 15, packed >> 4], axis=1)
         n, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
         comp = np.unique([r[6] for r in rows], return_inverse=True)[1]
-        for i in range(len(rows)):
-            j = np.arange(0 if best else i + 1, len(rows))
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             j = j[(comp[j] != comp[i]) & (100 * low >= percent * high) & ((block[j] != block[i]) | (lo == hi))]
-            if not len(j):
-                continue
-            share = (sketch[j] == sketch[i]).mean(1)
-            fits = _passes(share, np.minimum(n[i], n[j]), percent)
-            if best:
-                j = j[[share.argmax()]] if fits.any() else j[:0]
-            else:
-                j = j[fits]
-            for k in j:
-                if best or keys[i, (keys[i] == keys[k]).argmax()] == band:
+            if len(j):
+                for k in j[_fine_passes((sketch[j] == sketch[i]).mean(1), np.minimum(n[i], n[j]), percent)]:
                     yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
 
     def run(batches):
@@ -244,15 +267,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     labels = _relabel(labels, _links(pairs, texts, width, percent))
     entries = materialise(entries.join(taken.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti"), "entries")
     release_shuffles(spark)
-    # then what is left in a bucket between different components, block against block: first each node's likeliest
-    # pair, which links most of what can be linked, and behind that all pairs
-    for best in (True, False):
-        live = materialise(_live(entries, labels), "live")
-        blocks = _blocked(live).join(sketches, "node")
-        rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "sketch")
-        rest = materialise(rest.mapInArrow(_compared(percent, best), "a binary, b binary").distinct(), "rest")
-        labels = _relabel(labels, _links(rest, texts, width, percent))
-        release_shuffles(spark)
+    # then what is left in a bucket between different components, block against block
+    live = materialise(_live(entries, labels), "live")
+    fine = texts.join(live.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine(width), "node binary, fine binary")
+    blocks = _blocked(live).join(materialise(fine, "fine"), "node")
+    rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "fine")
+    rest = materialise(rest.mapInArrow(_compared(percent), "a binary, b binary").distinct(), "rest")
+    labels = _relabel(labels, _links(rest, texts, width, percent))
+    release_shuffles(spark)
     root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
     high = F.conv(F.hex(F.substring("comp", 1, 4)), 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31))
     low = F.conv(F.hex(F.substring("comp", 5, 4)), 16, 10).cast("long")
