@@ -13,14 +13,13 @@ from gleanery.llm.exact_dedup import drop_exact_duplicates
 from gleanery.llm.minhash import drop_near_duplicates
 from gleanery.llm.mixing import mixed_documents
 from gleanery.llm.sentencepiece import encode_documents
-from gleanery.llm.toxicity import toxicity
+from gleanery.llm.toxicity import drop_toxic
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is not toxic; rows that share an id are judged one by one by their text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
-    toxic = toxicity(docs.select("doc_id", "text"), labels).where("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__gone"]), "left_anti")
+    return drop_toxic(docs, labels)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN: list[tuple] = []
 
@@ -56,6 +57,25 @@ def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
+LAST_ID = (1 << 63) - 1
+
+
+def row_id(id_col: str) -> Column:
+    """The id as a long that is never null: null ids come last."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+
+
+def text_key(text_col: str) -> Column:
+    """With the id, it names a row's text: ids may be null or repeat. Null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows whose id and text are in `gone` (doc_id as by row_id, text_key); all columns stay."""
+    rows = docs.select(F.struct("*").alias("__row"), row_id(id_col).alias("doc_id"), text_key(text_col).alias("text_key"))
+    return rows.join(gone.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti").select("__row.*")
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of a string column's values; null is empty."""
     import pyarrow as pa

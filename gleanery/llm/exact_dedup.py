@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, text_bytes
+from .common import materialise, partitions, row_id, text_bytes, text_key, without
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -135,21 +135,21 @@ def _digests(batches):
         made = [normalised_digest(t) for t in texts]
         chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([d for d, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), chars],
-            names=["doc_id", "digest", "n_bytes", "n_chars"],
+            [batch.column(0), pa.array([d for d, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), chars, batch.column(2)],
+            names=["doc_id", "digest", "n_bytes", "n_chars", "text_key"],
         )
 
 
-_GROUP = "shard int, digest binary, n_bytes long, best_chars long, keep_id long, group_size long"
+_GROUP = "shard int, digest binary, n_bytes long, best_chars long, keep_id long, keep_key long, group_size long"
 _LAST = np.iinfo(np.int64).max
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """The row that stays: more characters, then the smaller id, null ids last; sizes add up."""
-    (chars, doc, n), (chars2, doc2, n2) = a, b
-    if (-chars2, doc2 is None, doc2 or 0) < (-chars, doc is None, doc or 0):
-        chars, doc = chars2, doc2
-    return chars, doc, n + n2
+    """The row that stays: more characters, then the smaller id, null ids last, then the smaller text key; sizes add up."""
+    (chars, doc, text, n), (chars2, doc2, text2, n2) = a, b
+    if (-chars2, doc2 is None, doc2 or 0, text2) < (-chars, doc is None, doc or 0, text):
+        chars, doc, text = chars2, doc2, text2
+    return chars, doc, text, n + n2
 
 
 def _emit(index: CuckooIndex, shards: int):
@@ -165,8 +165,9 @@ def _emit(index: CuckooIndex, shards: int):
                 pa.array([v[0] for _, v in part], pa.int64()),
                 pa.array([v[1] for _, v in part], pa.int64()),
                 pa.array([v[2] for _, v in part], pa.int64()),
+                pa.array([v[3] for _, v in part], pa.int64()),
             ],
-            names=["shard", "digest", "n_bytes", "best_chars", "keep_id", "group_size"],
+            names=["shard", "digest", "n_bytes", "best_chars", "keep_id", "keep_key", "group_size"],
         )
 
 
@@ -178,14 +179,14 @@ def _fold(shards: int, flush: int | None):
         index, shard = CuckooIndex(), None
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            raw = len(cols) == 4
+            raw = len(cols) == 5
             for row in zip(*cols, strict=True):
                 if raw:
-                    doc, digest, n_bytes, chars = row
-                    new = (chars, doc, 1)
+                    doc, digest, n_bytes, chars, text = row
+                    new = (chars, doc, text, 1)
                 else:
-                    at, digest, n_bytes, chars, doc, size = row
-                    new = (chars, doc, size)
+                    at, digest, n_bytes, chars, doc, text, size = row
+                    new = (chars, doc, text, size)
                     if at != shard:
                         yield from _emit(index, shards)
                         index, shard = CuckooIndex(), at
@@ -208,16 +209,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last. Rows that repeat the staying row's id are flagged as kept too. Other columns are ignored, whatever
     their names. An empty table gives an empty table. Length is no limit: only the digest leaves the scan.
     """
+    return _grouped(docs, id_col, text_col, shards).drop("text_key", "stays")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shards: int | None = None) -> DataFrame:
+    """exact_groups with text_key and stays: whether id and text are those of the group's one row that stays."""
     spark = docs.sparkSession
     shards = shards or partitions(spark) * 16
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = materialise(rows.mapInArrow(_digests, "doc_id long, digest binary, n_bytes long, n_chars long"), "digests")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("text_key"))
+    keys = materialise(rows.mapInArrow(_digests, "doc_id long, digest binary, n_bytes long, n_chars long, text_key long"), "digests")
     groups = (
         keys.mapInArrow(_fold(shards, 100_000), _GROUP)
         .repartition(partitions(spark), "shard")
         .sortWithinPartitions("shard")
         .mapInArrow(_fold(shards, None), _GROUP)
-        .select("digest", "n_bytes", "keep_id", "group_size")
+        .select("digest", "n_bytes", "keep_id", "keep_key", "group_size")
     )
     return keys.join(groups, ["digest", "n_bytes"]).select(
         "doc_id",
@@ -226,13 +232,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_chars",
+        "text_key",
+        ((row_id("doc_id") == row_id("keep_id")) & (F.col("text_key") == F.col("keep_key"))).alias("stays"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text another row stands for; all columns stay as they are."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """`docs` without the rows whose text another row stands for; all columns stay as they are. Rows are told apart by id
+    and text, so that null and repeated ids don't matter."""
+    gone = _grouped(docs, id_col, text_col).where(~F.col("stays")).select(row_id("doc_id").alias("doc_id"), "text_key")
+    return without(docs, gone, id_col, text_col)
 
 
 OP8_SQL = """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialise, mix64, partitions, release_shuffles, text_bytes, word_hashes, word_spans
+from .common import LAST_ID, gram_hashes, materialise, mix64, partitions, release_shuffles, row_id, text_bytes, text_key, without, word_hashes, word_spans
 from .graph import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -31,7 +31,6 @@ FINE = 512  # registers of the finer sketch of nodes that share a band, of 4 bit
 BLOCK = 512
 # Expected share of registers of different sets that agree by chance: 0.1699 * 2**(p - r) of 2**p (published constant).
 COLLISIONS = 0.169919487159739 * 2.0 ** (7 - MANTISSA) / REGISTERS
-_LAST_ID = (1 << 63) - 1
 
 _ORDERS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(99)).reshape(REGISTERS, REGISTERS), axis=1)
 _FINE_ORDERS = np.argsort(mix64(np.arange(FINE * FINE, dtype=np.uint64) + np.uint64(77)).reshape(FINE, FINE), axis=1).astype(np.int16)
@@ -239,9 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     kept id are kept too. Null ids come last and stay null. Texts are read whole; other columns are ignored; an
     empty table gives an empty table. Words are compared by 64-bit hashes.
     """
+    found = _grouped(docs, width, percent, id_col, text_col)
+    null = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)
+    return found.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id as by row_id, text_key, n, component_id and stays (whether id and text are those of the component's one row
+    that stays, or the set is empty) for every row of `docs`."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = docs.select(row_id(id_col).alias("doc_id"), text.alias("text"), text_key(text_col).alias("text_key"))
     sketched = materialise(rows.mapInArrow(_sketches(width), "doc_id long, text_key long, n long, sig binary, sketch binary"), "sketches")
     # a node's name sorts by its smallest id: 8 bytes of the id, offset to be unsigned, and the set's 16-byte digest
     name = F.concat(F.unhex(F.concat(F.lpad(F.hex(F.shiftrightunsigned("id", 32).bitwiseXOR(F.lit(1 << 31))), 8, "0"), F.lpad(F.hex(F.col("id").bitwiseAND(F.lit((1 << 32) - 1))), 8, "0"))), F.col("sig"))
@@ -275,19 +282,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rest = materialise(rest.mapInArrow(_compared(percent), "a binary, b binary").distinct(), "rest")
     labels = _relabel(labels, _links(rest, texts, width, percent))
     release_shuffles(spark)
-    root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"))
+    root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"), "node", "id", F.col("text_key").alias("key"))
     high = F.conv(F.hex(F.substring("comp", 1, 4)), 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31))
     low = F.conv(F.hex(F.substring("comp", 5, 4)), 16, 10).cast("long")
-    root = root.select("sig", F.shiftleft(high, 32).bitwiseOR(low).alias("component_id"))
-    found = sketched.select("doc_id", "n", "sig").join(root, "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    null = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c)).alias(c)
-    return found.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    root = root.select("sig", F.shiftleft(high, 32).bitwiseOR(low).alias("component_id"), (F.col("node") == F.col("comp")).alias("first"), "id", "key")
+    found = sketched.select("doc_id", "text_key", "n", "sig").join(root, "sig", "left")
+    stays = F.col("sig").isNull() | (F.col("first") & (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key")))
+    return found.select("doc_id", "text_key", "n", F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the rows that another document of their component stands for; all columns stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` without the rows that another document of their component stands for; all columns stay. Rows are told apart
+    by id and text, so that null and repeated ids don't matter."""
+    gone = _grouped(docs, width, percent, id_col, text_col).where(~F.col("stays"))
+    return without(docs, gone, id_col, text_col)
 
 
 OP10_SQL = r"""

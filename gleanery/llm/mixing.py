@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import text_key
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -60,39 +62,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     id and size, so reruns agree; rows alike in both are interchangeable. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _decided(rows, ["__order", "doc_id"], weights, max_epochs, seed)
+
+
+def _decided(rows: DataFrame, order: list[str], weights, max_epochs: int, seed: int) -> DataFrame:
+    """rows (doc_id, source, size and others, which stay) with the mix's columns; a bucket's rows are taken in `order`."""
+    own = rows.columns
     named = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"))
     rows = rows.withColumn("__order", F.sha2(named, 256)).withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
     before = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select("source", "__bucket", "__start")
+    # one key that is never null for window and join, so that rows, which may carry texts, are exchanged once
+    group = F.concat(F.col("__bucket"), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
     plan = (
-        starts.withColumnRenamed("source", "__source")
+        starts.withColumn("__group", group)
+        .withColumnRenamed("source", "__source")
         .join(targets, F.col("__source").eqNullSafe(F.col("source")))
-        .select(F.col("__source"), F.col("__bucket").alias("__b"), "__start", "source_size", "target")
+        .select("__group", "__start", "source_size", "target")
     )
-    inside = W.partitionBy("source", "__bucket").orderBy("__order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__group").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     extra = F.floor(F.col("target") - F.col("repetitions") * F.col("source_size")).cast("long")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__extra") - F.col("__start") - F.col("__inside"))).cast("long")
     return (
-        rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
+        rows.withColumn("__group", group)
+        .withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(plan, "__group")
         .withColumn("repetitions", whole)
         .withColumn("__extra", extra)
         .withColumn("partial", partial)
-        .select("doc_id", "size", "source", "source_size", "target", "repetitions", "partial", (F.col("repetitions") * F.col("size") + F.col("partial")).alias("taken"))
+        .select("doc_id", "size", "source", "source_size", "target", "repetitions", "partial", (F.col("repetitions") * F.col("size") + F.col("partial")).alias("taken"), *own[3:])
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
     """`docs` with each row repeated as the mix takes it, all columns kept and texts whole: a partial repetition
-    of at least half a row's words counts as one, a smaller one as none. Rows with the same id share one decision."""
-    taken = mix(docs, id_col, text_col, source_col, **options)
+    of at least half a row's words counts as one, a smaller one as none. Every row, also one whose id is null or
+    repeats, has its own decision; rows alike in id and size are taken in the order of their text keys."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), text_key(text_col).alias("__key"), F.struct("*").alias("__row"))
+    taken = _decided(rows, ["__order", "doc_id", "__key"], weights, max_epochs, seed)
     times = F.col("repetitions") + (F.col("partial") * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("long")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(times).cast("int").alias("__times")).where("__times > 0")
-    times = F.explode(F.sequence(F.lit(1), taken["__times"])).alias("__time")
-    return docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).select(*[docs[c] for c in docs.columns], times).select(*[docs[c] for c in docs.columns])
+    taken = taken.select("__row", times.cast("int").alias("__times")).where("__times > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 OP6_SQL = r"""

@@ -241,29 +241,49 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_rows: int
     return lexicon, weight, bias
 
 
+def _scored(texts: list, value: tuple, cache: dict) -> list[float]:
+    model, lexicon, weight, bias = value
+    out = []
+    for text in texts:
+        z = bias
+        if len(lexicon) and text:
+            found = features(restored(text, model, cache))
+            at = np.searchsorted(lexicon, found)
+            at[at == len(lexicon)] = 0
+            z += weight[at[lexicon[at] == found]].sum()
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    return out
+
+
 def _scores(shared):
     def run(batches):
-        model, lexicon, weight, bias = shared.value
         cache: dict = {}
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                z = bias
-                if len(lexicon) and text:
-                    found = features(restored(text, model, cache))
-                    at = np.searchsorted(lexicon, found)
-                    at[at == len(lexicon)] = 0
-                    z += weight[at[lexicon[at] == found]].sum()
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            out = _scored(batch.column(1).to_pylist(), shared.value, cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return run
 
 
+def _clean(shared, text_at: int):
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            out = _scored(batch.column(text_at).to_pylist(), shared.value, cache)
+            yield batch.filter(pa.array([x < 0.5 for x in out], pa.bool_()))
+
+    return run
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str, text_col: str):
+    model = character_model(docs, text_col)
+    return docs.sparkSession.sparkContext.broadcast((model, *train(docs, labels, model, train_rows, id_col, text_col)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; labels has (id, toxic 0/1).
 
@@ -271,16 +291,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, i
     score is the smoothed share of the kind that there is. held_out is null where doc_id is. Repeated rows get
     equal scores; other columns are ignored; texts are read whole; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    model = character_model(docs, text_col)
-    lexicon, weight, bias = train(docs, labels, model, train_rows, id_col, text_col)
-    shared = spark.sparkContext.broadcast((model, lexicon, weight, bias))
+    shared = _fitted(docs, labels, train_rows, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_scores(shared), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose text `toxicity` predicts as toxic; all columns stay. Each row is judged where it
+    stands, so that null and repeated ids don't matter."""
+    shared = _fitted(docs, labels, train_rows, id_col, text_col)
+    return docs.mapInArrow(_clean(shared, docs.columns.index(text_col)), docs.schema)
+
+
 def op3_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
