@@ -71,9 +71,12 @@ def text_key(text_col: str) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` without the rows whose id and text are in `gone` (doc_id as by row_id, text_key); all columns stay."""
-    rows = docs.select(F.struct("*").alias("__row"), row_id(id_col).alias("doc_id"), text_key(text_col).alias("text_key"))
-    return rows.join(gone.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti").select("__row.*")
+    """`docs` without the rows whose id and text are in `gone` (doc_id as by row_id, text_key), and of the rows that repeat
+    id and text one: the least by a hash of its other columns (maps aside). All columns stay."""
+    rest = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    rows = docs.select(F.struct("*").alias("__row"), row_id(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), F.xxhash64(F.lit(0), *rest).alias("__rest"))
+    rows = rows.join(gone.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_anti")
+    return rows.groupBy("doc_id", "text_key").agg(F.min_by("__row", "__rest").alias("__row")).select("__row.*")
 
 
 def text_bytes(column) -> list[bytes]:

@@ -239,7 +239,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shards: int | None = N
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows whose text another row stands for; all columns stay as they are. Rows are told apart by id
-    and text, so that null and repeated ids don't matter."""
+    and text, so that null and repeated ids don't matter; of rows that repeat both, one stays."""
     gone = _grouped(docs, id_col, text_col).where(~F.col("stays")).select(row_id("doc_id").alias("doc_id"), "text_key")
     return without(docs, gone, id_col, text_col)
 

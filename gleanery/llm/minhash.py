@@ -293,7 +293,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the rows that another document of their component stands for; all columns stay. Rows are told apart
-    by id and text, so that null and repeated ids don't matter."""
+    by id and text, so that null and repeated ids don't matter; of rows that repeat both, empty ones too, one stays."""
     gone = _grouped(docs, width, percent, id_col, text_col).where(~F.col("stays"))
     return without(docs, gone, id_col, text_col)
 

@@ -70,3 +70,15 @@ def test_each_row_is_mixed_by_itself(spark):
         whole = sum(r.repetitions + (2 * r.partial >= max(r.size, 1)) for r in plan)
         assert sum(1 for r in mixed.collect() if r.source == source) == whole
     assert got == texts(mixed_documents(docs.repartition(3)))
+
+
+def test_a_table_read_twice_is_reduced_to_one(spark, lone):
+    rows = [(1, lone[0], "x"), (None, lone[1], "x"), (3, lone[2], None), (4, None, "x"), (LAST, lone[1], "x")]
+    docs = spark.createDataFrame([r for r in rows for _ in range(3)] + [(3, lone[2], "y")], DOCS).repartition(4)
+    for drop in (drop_exact_duplicates, drop_near_duplicates):
+        kept = drop(docs)
+        assert kept.columns == docs.columns
+        got = texts(kept)
+        assert [t for _, t in got if t != lone[1]] == [t for i, t in sorted((r[:2] for r in rows), key=str) if t != lone[1]]
+        assert sum(t == lone[1] for _, t in got) == 1
+        assert [r.source for r in kept.where("doc_id = 3").collect()] == [r.source for r in drop(docs.repartition(2)).where("doc_id = 3").collect()]
