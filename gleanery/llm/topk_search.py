@@ -106,7 +106,10 @@ def _push(best: _Best, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         best.score = np.pad(best.score, ((0, 0), (0, pad)), constant_values=-np.inf)
         best.ids = np.pad(best.ids, ((0, 0), (0, pad)))
     score, ids = np.concatenate([best.score[q], score]), np.concatenate([best.ids[q], ids])
-    order = np.lexsort((ids, -score))[: best.k]
+    order = np.lexsort((ids, -score))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][: best.k]  # the best row of each id; empty places count as one id's
+    order = np.pad(order, (0, best.k - len(order)), constant_values=-1)
+    score, ids = np.append(score, -np.inf), np.append(ids, 0)
     best.score[q], best.ids[q] = score[order], ids[order]
 
 
@@ -120,10 +123,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, nodes: int = NODES, i
 
     Ties go to the smaller id; with fewer candidates than k all are returned. Vectors that are null or hold null
     or non-finite components take no part, nor do rows without id. All vectors must have one length. Repeated
-    ids with equal vectors count once as a query and once as a candidate. Empty tables give no rows.
+    ids with equal vectors count once as a query and once as a candidate. An id with several vectors is one query and one
+    candidate: the score of two ids is the best over their vectors. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    rows = materialise(scaled(vectors, id_col, vector_col, scale).dropDuplicates(["vec_id"]), "vectors")
+    rows = materialise(scaled(vectors, id_col, vector_col, scale).dropDuplicates(["vec_id", "v"]), "vectors")
     queries = rows.where(F.col("vec_id") % every == 0)
     blocks = queries.withColumn("__block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
     found = None
@@ -141,9 +145,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, nodes: int = NODES, i
         bound = np.full(len(ids), -float(1 << 53))
         for query, t, n in least.toArrow().to_pandas().itertuples(index=False):  # a row per query of the block
             if n == k:
-                bound[np.searchsorted(ids, query)] = t
+                bound[ids == query] = t
         shared = spark.sparkContext.broadcast((ids, matrix, bound))
-        hits = _top(rows.mapInArrow(_scan(shared, k, nodes, True), HIT), k).select("query_id", "rank", "vec_id", "score")
+        hits = rows.mapInArrow(_scan(shared, k, nodes, True), HIT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        hits = _top(hits, k).select("query_id", "rank", "vec_id", "score")
         hits = materialise(hits, "topk")
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
