@@ -1,4 +1,4 @@
-"""Substring deduplication with prefix-partitioned suffix trees over words.
+"""Substring deduplication by minimiser buckets and names of fixed-depth word prefixes; no suffix tree is built.
 
 A window is DEPTH consecutive words; one is a repeat if its word sequence also starts earlier (smaller id, or
 same document and earlier start). Three passes:
@@ -9,9 +9,10 @@ same document and earlier start). Three passes:
    documents share travels once per task.
 2. Suffixes. The words of surviving windows, cut into runs of one minimiser, go to that minimiser's bucket. In
    a task's own chunk first, then in each bucket, variable-length word prefixes split the suffixes into groups of
-   at most GROUP suffixes (a prefix with too many is extended by a word), and each group's subtree is built by prefix
-   doubling. Its internal nodes of depth DEPTH and more are the maximal repeats: all leaves below such a node but the
-   first are repeats. Leaves that aren't first in their own chunk are settled there and don't travel.
+   at most GROUP suffixes (a prefix with too many is extended by a word), after the whole bucket is in memory, and in
+   each group prefix doubling names every suffix's first DEPTH words. Of the suffixes of one name, which would be the
+   leaves below one node of depth DEPTH of a suffix tree, all but the first are repeats. Those that aren't first in
+   their own chunk are settled there and don't travel.
 3. Removal. Each document's words under a repeated window are dropped.
 
 Word identity inside a bucket is a 64-bit hash of the word's bytes; sequences are compared word by word.
