@@ -8,9 +8,14 @@ Jaccard similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS (1 -
 Documents with equal sets are one node. In each band bucket the least node is the pivot: its pairs with the bucket's
 other nodes pass a size test, then the collision-corrected Jaccard estimate of the registers (five deviations below the
 threshold), then the exact comparison of full sets. Links feed the components. Buckets whose other nodes then lie in one
-component are done; in the rest, finer sketches (FINE registers of 4 bits) are compared block against block of at most about BLOCK
-nodes, and what passes size and estimate between different components is compared exactly. So no link between components is lost, a tight
-group of m near copies costs about m comparisons, and no bucket is gathered in a task.
+component are done; the rest are compared block against block of at most about BLOCK nodes, each pair in the first band it shares. Finer
+sketches (FINE registers of 4 bits) part a pair of blocks into chains of nodes of different components whose size and estimate allow
+a link; the whole sets then meet in those parts, and links that join components of a part are made there, so a part gives fewer links than
+it has rows. A tight group of m near copies costs about m comparisons. Of a bucket's m nodes in several components
+each travels m / BLOCK times, and pairs are compared in memory alone: no bucket is gathered in a task, none is cut short.
+
+A link is lost where its sets share no band, or an estimate is more than five deviations too low (3e-7 each, one in
+five million by the normal law).
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 FINE = 512  # registers of the finer sketch of nodes that share a band, of 4 bits each
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 # Expected share of registers of different sets that agree by chance: 0.1699 * 2**(p - r) of 2**p (published constant).
 COLLISIONS = 0.169919487159739 * 2.0 ** (7 - MANTISSA) / REGISTERS
 
@@ -132,18 +138,23 @@ def _passes(share: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _blocked(live: DataFrame) -> DataFrame:
-    """`live` with block, and a row for each pair of blocks (lo <= hi) the row's block takes part in: no group passes 2 * BLOCK rows or so."""
-    sizes = live.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("__k"))
+    """`live` with block, and a row for each pair of blocks (lo <= hi) the row's block takes part in. A block has BLOCK rows and BLOCK_SHINGLES
+    shingles or so (a longer set makes a larger one)."""
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    sizes = live.groupBy("band").agg(blocks.cast("int").alias("__k"))
     rows = live.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("__k")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     return rows.withColumn("lo", F.least("block", "__other")).withColumn("hi", F.greatest("block", "__other")).drop("__k", "__other")
 
 
-def _fine(width: int):
+def _sets(width: int):
+    """node, its finer sketch, its whole set."""
+
     def run(batches):
         for batch in batches:
-            made = [fine_sketch(shingle_set(t, width)) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(m[::2] | m[1::2] << 4).tobytes() for m in made], pa.binary())], names=["node", "fine"])
+            found = [shingle_set(t, width) for t in text_bytes(batch.column(1))]
+            fine = [fine_sketch(f) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(m[::2] | m[1::2] << 4).tobytes() for m in fine], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "fine", "shingles"])
 
     return run
 
@@ -155,37 +166,111 @@ def _fine_passes(share: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     return (share - 1 / 16) * 16 / 15 >= s - slack - 1e-9
 
 
-def _compared(percent: int):
-    """Pairs of different components whose sizes and finer estimates allow a link; a pair may come from several bands."""
+PART = "band long, lo int, hi int, part int, block int, node binary, n long, comp binary, sketch binary, fine binary"
+_NAMES = [c.split()[0] for c in PART.split(", ")]
+
+
+class _Part:
+    """The rows of one pair of blocks (or of one part of it), smallest set first, and which pairs of them are to be compared."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.rows, self.percent = sorted(rows, key=lambda r: (r[6], r[5])), percent
+        self.band, self.lo, self.hi = rows[0][:3]
+        self.n, self.block = np.array([r[6] for r in self.rows], np.int64), np.array([r[4] for r in self.rows])
+        self.comp = np.unique([r[7] for r in self.rows], return_inverse=True)[1]
+        self.sketch = np.frombuffer(b"".join(r[8] for r in self.rows), np.uint16).reshape(-1, BANDS, ROWS)
+        packed = np.frombuffer(b"".join(r[9] for r in self.rows), np.uint8).reshape(len(rows), -1)
+        self.fine = np.concatenate([packed & 15, packed >> 4], axis=1)
+        self.at = int(np.argmax(band_keys(self.sketch[0].ravel()).view(np.int64) == self.band))
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later rows of other components whose size and finer estimate allow a link with row i, and that share no earlier band with it:
+        such a pair is compared there, or was when its pivot was."""
+        j = np.arange(i + 1, np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))
+        j = j[(self.comp[j] != self.comp[i]) & ((self.block[j] != self.block[i]) | (self.lo == self.hi))]
+        if len(j):
+            j = j[_fine_passes((self.fine[j] == self.fine[i]).mean(1), self.n[i], self.percent)]
+        if len(j) and self.at:
+            j = j[~(self.sketch[j, : self.at] == self.sketch[i, : self.at]).all(2).any(1)]
+        return j
+
+
+class _Union:
+    def __init__(self, size: int):
+        self.root = list(range(size))
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _groups(batches, keys: int):
+    """Lists of the rows that agree in the first `keys` columns, of batches sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _parted(percent: int):
+    """The rows that have a partner within their pair of blocks, with the least row their chain of partners leads to as part."""
+
+    def run(batches):
+        for rows in _groups(batches, 3):
+            part = _Part(rows, percent)
+            union = _Union(len(rows))
+            for i in range(len(rows) - 1):
+                for j in part.partners(i).tolist():
+                    union.join(i, j)
+            roots = [union.find(i) for i in range(len(rows))]
+            shared = np.bincount(roots, minlength=len(rows)) > 1
+            kept = [(*r[:3], root, *r[4:]) for r, root in zip(part.rows, roots, strict=True) if shared[root]]
+            for at in range(0, len(kept), 1000):
+                yield pa.RecordBatch.from_pydict({name: [r[i] for r in kept[at : at + 1000]] for i, name in enumerate(_NAMES)}, schema=_part_schema())
+
+    return run
+
+
+def _part_schema() -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PART.split(", ")])
+
 
-    def pairs(rows: list[tuple]):
-        lo, hi = rows[0][1:3]
-        packed = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-        sketch = np.concatenate([packed & 15, packed >> 4], axis=1)
-        n, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
-        comp = np.unique([r[6] for r in rows], return_inverse=True)[1]
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * low >= percent * high) & ((block[j] != block[i]) | (lo == hi))]
-            if len(j):
-                for k in j[_fine_passes((sketch[j] == sketch[i]).mean(1), np.minimum(n[i], n[j]), percent)]:
-                    yield min(rows[i][4], rows[k][4]), max(rows[i][4], rows[k][4])
+def _reached(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _joined(percent: int):
+    """Links, by full sets, that join components of a part: one fewer than it has rows at most."""
 
     def run(batches):
-        held: list[tuple] = []
         out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    out.extend(pairs(held))
-                    held = []
-                    if len(out) > 10_000:
-                        yield _pairs_batch(out)
-                        out = []
-                held.append(row)
-        if held:
-            out.extend(pairs(held))
+        for rows in _groups(batches, 4):
+            part = _Part(rows, percent)
+            sets = [np.frombuffer(r[10], np.uint64) for r in part.rows]
+            union = _Union(len(rows))
+            for i in range(len(rows) - 1):
+                for j in part.partners(i).tolist():
+                    a, b = int(part.comp[i]), int(part.comp[j])
+                    if union.find(a) != union.find(b) and _reached(sets[i], sets[j], percent):
+                        union.join(a, b)
+                        out.append((part.rows[i][5], part.rows[j][5]))
+            if len(out) > 10_000:
+                yield _pairs_batch(out)
+                out = []
         yield _pairs_batch(out)
 
     return run
@@ -202,9 +287,7 @@ def _verified(width: int, percent: int):
             for a, ta, tb in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
                 if a not in cache:
                     cache = {a: shingle_set(ta, width)}
-                x, y = cache[a], shingle_set(tb, width)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_reached(cache[a], shingle_set(tb, width), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -276,11 +359,13 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     release_shuffles(spark)
     # then what is left in a bucket between different components, block against block
     live = materialise(_live(entries, labels), "live")
-    fine = texts.join(live.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine(width), "node binary, fine binary")
-    blocks = _blocked(live).join(materialise(fine, "fine"), "node")
-    rest = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "block", "node", "n", "comp", "fine")
-    rest = materialise(rest.mapInArrow(_compared(percent), "a binary, b binary").distinct(), "rest")
-    labels = _relabel(labels, _links(rest, texts, width, percent))
+    sets = materialise(texts.join(live.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sets(width), "node binary, fine binary, shingles binary"), "sets")
+    known = sets.select("node", "fine").join(sketches, "node")
+    blocks = _blocked(live).withColumn("part", F.lit(0)).join(known, "node").select(*_NAMES)
+    parts = blocks.repartition(partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_parted(percent), PART)
+    parts = materialise(parts, "parts").join(sets.select("node", "shingles"), "node").select(*_NAMES, "shingles")
+    parts = parts.repartition(partitions(spark), "band", "lo", "hi", "part").sortWithinPartitions("band", "lo", "hi", "part")
+    labels = _relabel(labels, materialise(parts.mapInArrow(_joined(percent), "a binary, b binary"), "joins"))
     release_shuffles(spark)
     root = nodes.join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("comp"), "node", "id", F.col("text_key").alias("key"))
     high = F.conv(F.hex(F.substring("comp", 1, 4)), 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31))
