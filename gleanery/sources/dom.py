@@ -1,9 +1,15 @@
-"""A tolerant HTML tree on the standard library's tokenizer, and what the extractors read from it."""
+"""One tolerant pass over HTML that lays a page out as a table of elements over its text, and what the extractors select from it.
+
+An element is a row: its tag and attributes, the range of the page's text it covers, the range of rows below it, and which
+kinds of elements it stands in. Every extractor is a selection over that table.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 # Elements without content, elements that hold raw text, and which open elements a start tag closes.
@@ -20,153 +26,152 @@ CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head", "link", "script"},
 }
 
-_SPACE = re.compile(r"\s+")
-
-
-class Node:
-    __slots__ = ("attrs", "children", "name")
-
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
-        self.name, self.attrs, self.children = name, attrs or {}, []
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return "".join(out)
+CHROME = {"nav", "footer"}
+PARTS = BLOCKS | {"figcaption", "dl"}
+FEEDS = ("application/rss+xml", "application/atom+xml")
+HTTP = ("http://", "https://")
+NEXT_DATA = "__NEXT_DATA__"
+# Attributes that name a value, and the attributes that hold it, before the element's text.
+ANNOTATED = {"itemprop": ("content", "href", "src"), "property": ("content", "href")}
 
-    def walk(self):
-        """Elements below, in document order."""
-        stack = list(reversed(self.children))
-        while stack:
-            node = stack.pop()
-            if not isinstance(node, str):
-                yield node
-                stack.extend(reversed(node.children))
-
-
-class _Builder(HTMLParser):
-    """A start tag closes what it implies only as long as that is on top of the stack."""
-
-    def __init__(self):
+_SPACE = re.compile(r"\s+")
+_ASSIGNED = re.compile(r"\b(?:window|self)\.(_{0,2}[A-Z][A-Z0-9_]*)\s*=\s*(?=\{)")
+
+@dataclass(slots=True)
+class Element:
+    at: int  # its row
+    name: str
+    attrs: dict[str, str]
+    parent: int
+    begin: int  # of its text
+    hidden: bool  # it stands in, or is, an element without visible text
+    chrome: bool  # that, or navigation or footer
+    in_block: bool  # a block stands around it
+    in_part: bool  # a block, caption or definition list stands around it
+    end: int = 0
+    last: int = 0  # the last row below it
+
+
+class Page(HTMLParser):
+    """The table of a page's elements in document order. A start tag closes what it implies only as long as that is on top of the stack."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.stack = [self.root]
+        self.elements: list[Element] = []
+        self.chunks: list[str] = []
+        self.open: list[Element] = []
+        self.length = 0
+        self.feed(html)
+        self.close()
+        self._shut(0)
+        self.whole = "".join(self.chunks)
+
+    def _shut(self, depth: int) -> None:
+        for e in self.open[depth:]:
+            e.end, e.last = self.length, len(self.elements) - 1
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         closed = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        while len(self.stack) > 1 and self.stack[-1].name in closed:
-            self.stack.pop()
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
+        while self.open and self.open[-1].name in closed:
+            self._shut(len(self.open) - 1)
+        up = self.open[-1] if self.open else Element(-1, "", {}, -1, 0, False, False, False, False)
+        hidden = up.hidden or tag in SKIPPED
+        chrome = up.chrome or hidden or tag in CHROME
+        e = Element(len(self.elements), tag, {k: v or "" for k, v in reversed(attrs)}, up.at, self.length, hidden, chrome, up.in_block or up.name in BLOCKS, up.in_part or up.name in PARTS)
+        self.elements.append(e)
+        self.open.append(e)
+        if tag == "br":
+            self.handle_data("\n")
+        if tag in VOID:
+            self._shut(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == tag:
-                del self.stack[i:]
-                return
+        depth = next((d for d in range(len(self.open) - 1, -1, -1) if self.open[d].name == tag), None)
+        if depth is not None:
+            self._shut(depth)
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        self.chunks.append(data)
+        self.length += len(data)
+
+    def raw(self, e: Element) -> str:
+        return self.whole[e.begin : e.end].strip()
 
+    def text(self, e: Element) -> str:
+        return collapse(self.whole[e.begin : e.end])
 
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+    def named(self, *names: str, within: Element | None = None) -> list[Element]:
+        rows = self.elements if within is None else self.elements[within.at + 1 : within.last + 1]
+        return [e for e in rows if e.name in names]
 
 
 def collapse(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
-def blocks(root: Node) -> list[str]:
+def blocks(page: Page) -> list[str]:
     """Texts of headings, paragraphs, list items, cells and quotes in order; a block's inner blocks belong to it."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str) or node.name in SKIPPED:
-            continue
-        if node.name in BLOCKS:
-            if text := collapse(node.text()):
-                out.append(text)
-        else:
-            stack.extend(reversed(node.children))
-    return out
+    texts = (page.text(e) for e in page.elements if e.name in BLOCKS and not e.hidden and not e.in_block)
+    return [t for t in texts if t]
 
 
-def structured(root: Node) -> tuple[str, list[str]]:
+def structured(page: Page) -> tuple[str, list[str]]:
     """Text with headings marked, without navigation and footer, definition lists as `term: definition`; and the main headings."""
-    out: list[str] = []
-    sections: list[str] = []
-    stack = list(reversed(root.children))
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str) or node.name in SKIPPED | {"nav", "footer"}:
-            continue
-        if node.name in HEADINGS:
-            if text := collapse(node.text()):
-                out.append(f"\n## {text}")
-                if node.name in ("h1", "h2"):
-                    sections.append(text)
-        elif node.name in BLOCKS | {"figcaption"}:
-            if text := collapse(node.text()):
-                out.append(text)
-        elif node.name == "dl":
-            term = ""
-            for child in node.children:
-                if not isinstance(child, str):
-                    if child.name == "dt":
-                        term = collapse(child.text())
-                    elif child.name == "dd" and term:
-                        out.append(f"{term}: {collapse(child.text())}")
-        else:
-            stack.extend(reversed(node.children))
-    return "\n".join(out), sections
+    parts = [(e, page.text(e)) for e in page.elements if e.name in PARTS and not e.chrome and not e.in_part]
+    lines = []
+    for e, text in parts:
+        if e.name == "dl":
+            lines += definitions(page, e)
+        elif text:
+            lines.append(f"\n## {text}" if e.name in HEADINGS else text)
+    return "\n".join(lines), [text for e, text in parts if text and e.name in ("h1", "h2")]
+
+
+def definitions(page: Page, group: Element) -> list[str]:
+    """`term: definition` of a list's own definitions that have a term before them."""
+    own = [(e.name, page.text(e)) for e in page.named("dt", "dd", within=group) if e.parent == group.at]
+    terms = [next((text for name, text in reversed(own[:i]) if name == "dt"), "") for i in range(len(own))]
+    return [f"{term}: {text}" for term, (name, text) in zip(terms, own, strict=True) if name == "dd" and term]
 
 
-def metadata(root: Node) -> tuple[dict[str, str], str | None]:
-    """Title, meta tags (the first of a name wins) and hreflang alternates; and the last canonical link."""
+def first_of_each(pairs) -> dict[str, str]:
+    """The first pair of each name; pairs without name or value don't count."""
     found: dict[str, str] = {}
-    canonical = None
-    for node in root.walk():
-        if node.name == "title" and not found.get("title"):
-            if title := node.text().strip():
-                found["title"] = title
-        elif node.name == "meta":
-            name, content = (node.attrs.get("name") or node.attrs.get("property") or "").lower(), node.attrs.get("content", "")
-            if name and content:
-                found.setdefault(name, content)
-        elif node.name == "link" and node.attrs.get("href"):
-            rel = node.attrs.get("rel", "").lower()
-            if rel == "canonical":
-                canonical = node.attrs["href"]
-            elif rel == "alternate" and node.attrs.get("hreflang"):
-                found.setdefault(f"alternate:hreflang:{node.attrs['hreflang']}", node.attrs["href"])
-            elif rel == "manifest":
-                found.setdefault("manifest", node.attrs["href"])
-    return found, canonical
-
-
-def links(root: Node) -> list[dict]:
+    for name, value in pairs:
+        if name and value:
+            found.setdefault(name, value)
+    return found
+
+
+def _rel(e: Element) -> str:
+    return e.attrs.get("rel", "").lower()
+
+
+def metadata(page: Page) -> tuple[dict[str, str], str | None]:
+    """Title, meta tags, manifest and hreflang alternates (the first of a name wins); and the last canonical link."""
+
+    def pair(e: Element) -> tuple[str, str]:
+        if e.name == "title":
+            return "title", page.raw(e)
+        if e.name == "meta":
+            return (e.attrs.get("name") or e.attrs.get("property") or "").lower(), e.attrs.get("content", "")
+        language = e.attrs.get("hreflang")
+        name = f"alternate:hreflang:{language}" if _rel(e) == "alternate" and language else "manifest" if _rel(e) == "manifest" else ""
+        return name, e.attrs.get("href", "")
+
+    own = page.named("title", "meta", "link")
+    canonical = [e.attrs["href"] for e in own if e.name == "link" and _rel(e) == "canonical" and e.attrs.get("href")]
+    return first_of_each(map(pair, own)), canonical[-1] if canonical else None
+
+
+def links(page: Page) -> list[dict]:
     """Anchors that don't start with #, then feed links: href as written, anchor text or None."""
-    anchors, feeds = [], []
-    for node in root.walk():
-        href = node.attrs.get("href")
-        if node.name == "a" and href and not href.startswith("#"):
-            anchors.append({"href": href, "anchor_text": collapse(node.text()) or None, "feed": False})
-        elif node.name == "link" and href and node.attrs.get("rel", "").lower() == "alternate" and node.attrs.get("type", "").lower() in ("application/rss+xml", "application/atom+xml"):
-            feeds.append({"href": href, "anchor_text": None, "feed": True})
+    anchors = [{"href": e.attrs["href"], "anchor_text": page.text(e) or None, "feed": False} for e in page.named("a") if e.attrs.get("href", "#")[:1] not in ("", "#")]
+    feeds = [{"href": e.attrs["href"], "anchor_text": None, "feed": True} for e in page.named("link") if e.attrs.get("href") and _rel(e) == "alternate" and e.attrs.get("type", "").lower() in FEEDS]
     return anchors + feeds
 
 
@@ -177,94 +182,100 @@ def _parsed(text: str):
         return None
 
 
-_NUXT = re.compile(r"(?:window|self)\.__NUXT__\s*=\s*(\{.*?\});?\s*$", re.S | re.M)
-_GLOBAL = re.compile(r"(?:window|self)\.(_{0,2}[A-Z][A-Z0-9_]*_{0,2})\s*=\s*(\{.{0,50000}\})", re.S)
+def assignments(script: str) -> list[tuple[str, object]]:
+    """Names in capitals that a script assigns to window or self, and the JSON objects that stand behind the equals signs."""
+    found, decoder = [], json.JSONDecoder()
+    for m in _ASSIGNED.finditer(script):
+        try:
+            found.append((m[1], decoder.raw_decode(script, m.end())[0]))
+        except (ValueError, RecursionError):
+            continue
+    return found
 
 
-def app_data(root: Node) -> dict:
-    """JSON state embedded in script elements by key."""
+def app_data(page: Page) -> dict:
+    """JSON state embedded in script elements by key: the element's id, the name it is assigned to, or a running number. The first of a name wins."""
     found: dict = {}
-    for node in root.walk():
-        if node.name != "script":
-            continue
-        kind, key, content = node.attrs.get("type", "").lower(), node.attrs.get("id", ""), node.text().strip()
-        if key == "__NEXT_DATA__" or kind == "application/json":
-            if (value := _parsed(content)) is not None:
-                found[key or f"json_blob_{len(found)}"] = value
-        elif kind in ("", "text/javascript"):
-            if (m := _NUXT.search(content)) and (value := _parsed(m[1])) is not None:
-                found["__NUXT__"] = value
-            if (m := _GLOBAL.search(content)) and m[1] not in found and (value := _parsed(m[2])) is not None:
-                found[m[1]] = value
+    for e in page.named("script"):
+        kind, key = e.attrs.get("type", "").lower(), e.attrs.get("id", "")
+        if key == NEXT_DATA or kind == "application/json":
+            pairs = [(key or f"json_blob_{len(found)}", _parsed(page.raw(e)))]
+        else:
+            pairs = assignments(page.raw(e)) if kind in ("", "text/javascript") else []
+        for name, value in pairs:
+            if value is not None:
+                found.setdefault(name, value)
     return found
 
 
-def leaf_texts(blobs: dict, depth_limit: int = 6, cap: int = 8000) -> str:
-    """String leaves of 11 to 1,999 characters, depth first; after a blob that passes `cap` characters none follows."""
-    out: list[str] = []
+def leaves(value, deepest: int, widest: int | None = None) -> Iterator[tuple[str, object]]:
+    """Path and value of a JSON value's leaves in order, down to depth `deepest`, by the first `widest` items of a list."""
+    work = [("", 0, value)]
+    while work:
+        path, depth, value = work.pop()
+        if isinstance(value, dict):
+            below = [(f"{path}.{key}" if path else key, item) for key, item in value.items()]
+        elif isinstance(value, list):
+            below = [(f"{path}[{i}]", item) for i, item in enumerate(value[:widest])]
+        else:
+            yield path, value
+            continue
+        if depth < deepest:
+            work += [(p, depth + 1, item) for p, item in reversed(below)]
 
-    def visit(value, depth: int) -> None:
-        if depth > depth_limit:
-            return
-        if isinstance(value, str):
-            if 10 < len(value.strip()) < 2000:
-                out.append(value.strip())
-        elif isinstance(value, list | dict):
-            for item in value.values() if isinstance(value, dict) else value:
-                visit(item, depth + 1)
 
+def leaf_texts(blobs: dict, deepest: int = 6, cap: int = 8000) -> str:
+    """String leaves of 11 to 1,999 characters; after a blob that passes `cap` characters none follows."""
+    text = ""
     for blob in blobs.values():
-        visit(blob, 0)
-        if len("\n".join(out)) > cap:
+        if len(text) > cap:
             break
-    return "\n".join(out)
-
-
-def structured_data(root: Node) -> tuple[list[str], dict[str, str]]:
-    """JSON-LD entities as JSON texts, @graph taken apart; microdata and RDFa values, the first of a name winning."""
-    entities, values = [], {}
-    for node in root.walk():
-        if node.name == "script" and node.attrs.get("type", "").lower() == "application/ld+json":
-            value = _parsed(node.text().strip())
-            if isinstance(value, dict) and "@graph" in value:
-                entities += value["@graph"] if isinstance(value["@graph"], list) else []
-            elif value is not None:
-                entities.append(value)
-        for attribute, order in (("itemprop", ("content", "href", "src")), ("property", ("content", "href"))):
-            if name := node.attrs.get(attribute):
-                value = next((node.attrs[k] for k in order if k in node.attrs), None)
-                value = node.text().strip() if value is None else value
-                if value and name not in values:
-                    values[name] = value
-    return [json.dumps(e, ensure_ascii=False) for e in entities], values
-
-
-def tables(root: Node, limit: int = 10) -> list[dict]:
+        strings = (x.strip() for _, x in leaves(blob, deepest) if isinstance(x, str))
+        text = "\n".join(([text] if text else []) + [x for x in strings if 10 < len(x) < 2000])
+    return text
+
+
+def json_ld(page: Page) -> list[str]:
+    """JSON-LD entities as JSON texts; a graph counts as its members."""
+    values = [_parsed(page.raw(e)) for e in page.named("script") if e.attrs.get("type", "").lower() == "application/ld+json"]
+    graphs = [v["@graph"] if isinstance(v, dict) and "@graph" in v else [v] for v in values if v is not None]
+    return [json.dumps(entity, ensure_ascii=False) for graph in graphs if isinstance(graph, list) for entity in graph]
+
+
+def annotations(page: Page) -> dict[str, str]:
+    """Microdata and RDFa values by name, the first of a name winning."""
+    pairs = []
+    for e in page.elements:
+        for attribute, sources in ANNOTATED.items():
+            given = [e.attrs[s] for s in sources if s in e.attrs]
+            pairs.append((e.attrs.get(attribute), given[0] if given else page.raw(e) if attribute in e.attrs else None))
+    return first_of_each(pairs)
+
+
+def tables(page: Page, limit: int = 10) -> list[dict]:
     """Caption and rows of the first tables that have two rows and two columns at least."""
     out = []
-    for table in [n for n in root.walk() if n.name == "table"][:limit]:
-        rows = [[collapse(c.text()) for c in row.walk() if c.name in ("td", "th")] for row in table.walk() if row.name == "tr"]
-        rows = [r for r in rows if r]
+    for table in page.named("table")[:limit]:
+        cells = [[page.text(c) for c in page.named("td", "th", within=row)] for row in page.named("tr", within=table)]
+        rows = [r for r in cells if r]
         if len(rows) >= 2 and len(rows[0]) >= 2:
-            caption = next((collapse(n.text()) for n in table.walk() if n.name == "caption"), "") or None
-            out.append({"caption": caption, "rows": rows})
+            captions = [page.text(c) for c in page.named("caption", within=table)[:1]]
+            out.append({"caption": captions[0] if captions and captions[0] else None, "rows": rows})
     return out
 
 
 def extract(html: str) -> dict:
-    """Everything the engine reads from a page, by one parse."""
-    root = parse(html)
-    found, canonical = metadata(root)
-    data = app_data(root)
-    text, more = "\n".join(blocks(root)), leaf_texts(data)
-    text = f"{text}\n\n{more}" if text and more else text or more
-    body, sections = structured(root)
-    entities, values = structured_data(root)
-    shell = len(text.strip()) < 100 and not data and not found.get("og:title") and not found.get("description")
+    """Everything the engine reads from a page, by one pass."""
+    page = Page(html)
+    found, canonical = metadata(page)
+    data = app_data(page)
+    text = "\n\n".join(t for t in ("\n".join(blocks(page)), leaf_texts(data)) if t)
+    body, sections = structured(page)
+    bare = not data and not found.get("og:title") and not found.get("description")
     return {
-        "text": text, "title": found.get("title"), "links": links(root), "metadata": list(found.items()), "canonical": canonical,
-        "app_data": [(k, json.dumps(v, ensure_ascii=False)) for k, v in data.items()], "json_ld": entities, "microdata": list(values.items()),
-        "tables": tables(root), "structured": body, "sections": sections, "requires_browser": shell,
+        "text": text, "title": found.get("title"), "links": links(page), "metadata": list(found.items()), "canonical": canonical,
+        "app_data": [(k, json.dumps(v, ensure_ascii=False)) for k, v in data.items()], "json_ld": json_ld(page), "microdata": list(annotations(page).items()),
+        "tables": tables(page), "structured": body, "sections": sections, "requires_browser": bare and len(text.strip()) < 100,
     }
 
 
@@ -276,53 +287,16 @@ def _number(value) -> str:
     return str(value)
 
 
-def json_leaves(value, depth_limit: int = 12, longest: int = 4000, items: int = 200) -> tuple[list[tuple[str, str]], list[str]]:
-    """Paths and texts of a JSON value's leaves in order, and the distinct http(s) strings."""
-    out: list[tuple[str, str]] = []
-    found: dict[str, None] = {}
-
-    def visit(value, path: str, depth: int) -> None:
-        if depth > depth_limit:
-            return
-        if isinstance(value, str):
-            if 0 < len(value) <= longest:
-                out.append((path, value))
-            if value.startswith(("http://", "https://")):
-                found[value] = None
-        elif isinstance(value, bool | int | float):
-            out.append((path, _number(value)))
-        elif isinstance(value, list):
-            for i, item in enumerate(value[:items]):
-                visit(item, f"{path}[{i}]", depth + 1)
-        elif isinstance(value, dict):
-            for key, item in value.items():
-                visit(item, f"{path}.{key}" if path else key, depth + 1)
-
-    visit(value, "", 0)
-    return out, list(found)
-
-
-def json_text(body: str) -> tuple[str, list[str]]:
-    try:
-        value = json.loads(body)
-    except (ValueError, RecursionError):
-        return "", []
-    leaves, found = json_leaves(value)
-    return "\n".join(f"[{path}] {text}" for path, text in leaves), found
+def json_text(body: str, deepest: int = 12, longest: int = 4000, widest: int = 200) -> tuple[str, list[str]]:
+    """`[path] value` lines of a JSON text's leaves, strings of 1 to `longest` characters and no nulls; and the distinct http(s) strings. Empty for malformed texts."""
+    rows = list(leaves(_parsed(body), deepest, widest))
+    shown = [(path, x if isinstance(x, str) else _number(x)) for path, x in rows if x is not None]
+    shown = [f"[{path}] {x}" for path, x in shown if 0 < len(x) <= longest]
+    return "\n".join(shown), list(dict.fromkeys(x for _, x in rows if isinstance(x, str) and x.startswith(HTTP)))
 
 
 def xml_text(body: str) -> tuple[str, list[str]]:
     """All texts of an XML document joined by blanks, and the distinct http(s) values of href, url and loc attributes."""
-    root = parse(body)
-    out, found, stack = [], {}, list(reversed(root.children))
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str):
-            if node.strip():
-                out.append(node.strip())
-            continue
-        link = next((node.attrs[k] for k in ("href", "url", "loc") if k in node.attrs), "")
-        if link.startswith(("http://", "https://")):
-            found[link] = None
-        stack.extend(reversed(node.children))
-    return " ".join(out), list(found)
+    page = Page(body)
+    targets = [next((e.attrs[k] for k in ("href", "url", "loc") if k in e.attrs), "") for e in page.elements]
+    return " ".join(c.strip() for c in page.chunks if c.strip()), list(dict.fromkeys(t for t in targets if t.startswith(HTTP)))
