@@ -236,17 +236,35 @@ def redirect_chain(starts: DataFrame, redirects: DataFrame, limit: int = MAX_RED
     return rows.drop("__seen")
 
 
-def domain_policy(urls: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
-    """Rows whose host, or a domain it is in, is allowed (if `allow` is given) and none of which is denied; tables have (domain)."""
-    parts = F.split(U.host(F.col("url")), r"\.")
+def domain_verdicts(hosts: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """host, permitted of each distinct host: it, or a domain it is in, is allowed (if `allow` is given) and none is denied; tables have (domain)."""
+    parts = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    rows = urls.withColumn("__row", F.struct(*urls.columns))
-    keyed = rows.select("__row", F.explode(names).alias("domain"))
-    if allow is not None:
-        rows = rows.join(keyed.join(allow.select("domain"), "domain", "left_semi").select("__row").distinct(), "__row", "left_semi")
-    if deny is not None:
-        rows = rows.join(keyed.join(deny.select("domain"), "domain", "left_semi").select("__row").distinct(), "__row", "left_anti")
-    return rows.drop("__row")
+    rows = hosts.select("host").distinct().select("host", F.explode(names).alias("domain"))
+    for name, table in (("__allow", allow), ("__deny", deny)):
+        known = table.select("domain").distinct().withColumn(name, F.lit(True)) if table is not None else None
+        rows = rows.join(known, "domain", "left") if known is not None else rows.withColumn(name, F.lit(None).cast("boolean"))
+    hit = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.groupBy("host").agg((F.lit(allow is None) | hit("__allow")).alias("__a"), hit("__deny").alias("__d")).select("host", (F.col("__a") & ~F.col("__d")).alias("permitted"))
+
+
+def domain_permitted(urls: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """`urls` with permitted, judged once per host; a URL without host is permitted where nothing must be allowed."""
+    rows = urls.withColumn("__h", F.coalesce(U.host(F.col("url")), F.lit("")))
+    verdicts = domain_verdicts(rows.select(F.col("__h").alias("host")), allow, deny)
+    return rows.join(verdicts, F.col("__h") == F.col("host"), "left").select(*[rows[c] for c in urls.columns], F.coalesce("permitted", F.lit(allow is None)).alias("permitted"))
+
+
+def domain_policy(urls: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """The rows of `urls` that domain_permitted permits."""
+    return domain_permitted(urls, allow, deny).where("permitted").drop("permitted")
+
+
+def visitable(urls: DataFrame, robots: DataFrame, dns: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """`urls` with error, the first of a URL's own error, SSRF_BLOCKED, DOMAIN_DENIED and ROBOTS_DISALLOWED; null for one that may be fetched."""
+    rows = robots_allowed(domain_permitted(ssrf(urls, dns), allow, deny), robots)
+    error = F.coalesce(U.url_error(F.col("url")), F.when(F.col("ssrf_blocked"), "SSRF_BLOCKED"), F.when(~F.col("permitted"), "DOMAIN_DENIED"), F.when(~F.col("allowed"), "ROBOTS_DISALLOWED"))
+    return rows.withColumn("error", error).drop("ssrf_blocked", "permitted", "allowed")
 
 
 def host_gaps(log: DataFrame, gap_ms: int = 500) -> DataFrame:
@@ -255,3 +273,17 @@ def host_gaps(log: DataFrame, gap_ms: int = 500) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     gap = ((micros(F.col("ts")) - micros(before)) / 1000).cast("bigint")
     return log.withColumn("gap_ms", gap).withColumn("too_soon", F.coalesce(gap < gap_ms, F.lit(False)))
+
+
+def schedule(log: DataFrame, delays: DataFrame | None = None, gap_ms: int = 500) -> DataFrame:
+    """`log` (request_id, host, ts) with start_ms, the earliest time (epoch ms) that keeps every gap of the host, and wait_ms.
+
+    `delays` has (host, crawl_delay) in seconds; the larger of that and the gap counts. A request's start is the largest of
+    ts[j] + (i - j) * gap over the earlier ones j, so a running maximum of ts[j] - j * gap gives it without a loop.
+    """
+    rows = log if delays is None else log.join(delays.select("host", F.col("crawl_delay").alias("__delay")), "host", "left")
+    gap = F.greatest(F.lit(gap_ms), F.coalesce((F.col("__delay") * 1000).cast("bigint"), F.lit(0))) if delays is not None else F.lit(gap_ms)
+    own = W.partitionBy("host").orderBy("ts", "request_id")
+    rows = rows.withColumn("__gap", gap.cast("bigint")).withColumn("__at", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("__n", F.row_number().over(own).cast("bigint"))
+    start = F.max(F.col("__at") - F.col("__n") * F.col("__gap")).over(own.rowsBetween(W.unboundedPreceding, 0)) + F.col("__n") * F.col("__gap")
+    return rows.withColumn("start_ms", start).withColumn("wait_ms", F.col("start_ms") - F.col("__at")).select(*log.columns, "start_ms", "wait_ms")

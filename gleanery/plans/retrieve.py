@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import planning as P
 from ..functions import url as U
+from ..functions.mime import HTML_LIMIT, PDF_LIMIT, body_error
 from ..operators import policy
 from ..operators.bm25 import passages
 from ..operators.candidates import match_score, rank_candidates, repair_urls, url_score
 from ..operators.evidence import budget_cut, dedupe_passages, source_relevance, source_score, stop_prefix, top_evidence
+from ..sources import schemas
 from ..sources.formats import discover_sitemaps, extract_documents, with_mime
 from .storage import keep
 
-FAILED = {"INVALID_URL": "failed", "UNSAFE_SCHEME": "failed", "UNSAFE_PORT": "failed"}
+SOURCES = "array<struct<rank:int,url:string,title:string,type:string,relevance:double,http_status:int>>"
 
 
 @dataclass
@@ -29,7 +31,9 @@ class Engine:
     """Tables and hooks of a retrieval session.
 
     `hints` (name, url) resolves bare names; `extractors` maps content types to readers; `rank` replaces the ranking of candidates
-    (a frame with query_id, url, score, pos in and out); `discovered` (query_id, url, title, snippet) adds candidates from elsewhere.
+    (a frame with query_id, url, score, pos in and out); `discovered` (query_id, url, title, snippet) adds candidates from elsewhere;
+    `redirects` (from_url, to_url) is followed under policy. Every URL that is asked for, redirected to or a candidate passes the
+    same checks. Bodies beyond html_limit bytes (pdf_limit with enable_pdf) aren't read; other types' are cut at html_limit.
     """
 
     spark: SparkSession
@@ -40,6 +44,10 @@ class Engine:
     allow: DataFrame | None = None
     deny: DataFrame | None = None
     discovered: DataFrame | None = None
+    redirects: DataFrame | None = None
+    html_limit: int = HTML_LIMIT
+    pdf_limit: int = PDF_LIMIT
+    enable_pdf: bool = False
     rank: Callable[[DataFrame], DataFrame] | None = None
     extractors: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
@@ -53,16 +61,32 @@ class Engine:
         rows = requests.withColumn("__bare", bare).join(hints, F.col("__bare") == F.col("__name"), "left").withColumn("url", F.coalesce("__hint", "url")).drop("__bare", "__name", "__hint")
         rows = rows.withColumn("mode", F.coalesce("mode", P.infer_mode(F.col("query"))))
         rows = rows.withColumn("max_pages", P.max_pages(F.col("mode"), F.col("max_pages"))).withColumn("max_internal_requests", P.max_requests(F.col("mode"), F.col("max_internal_requests")))
-        rows = policy.ssrf(rows, self._table(self.dns, "host string, address string"))
-        rows = policy.robots_allowed(rows, self._table(self.robots, "origin string, status int, text string"))
-        error = F.coalesce(U.url_error(F.col("url")), F.when(F.col("ssrf_blocked"), "SSRF_BLOCKED"), F.when(~F.col("allowed"), "ROBOTS_DISALLOWED"))
-        return rows.withColumn("error", error).withColumn("norm", U.normalise(F.col("url"))).withColumn("origin", U.origin(F.col("url"))).drop("ssrf_blocked", "allowed")
+        return self.checked(rows).withColumn("norm", U.normalise(F.col("url"))).withColumn("origin", U.origin(F.col("url")))
+
+    def checked(self, urls: DataFrame) -> DataFrame:
+        """`urls` with the error that forbids fetching each, if any."""
+        return policy.visitable(urls, self._table(self.robots, schemas.ROBOTS), self._table(self.dns, schemas.DNS), self.allow, self.deny)
 
     def documents(self) -> DataFrame:
-        """One extracted document per normalised URL of `fetched`, 200 answers first."""
+        """One extracted document per normalised URL of `fetched`, 200 answers first, and per URL that redirects to one; fetch_error tells why one can't be had."""
         keyed = self.fetched.withColumn("norm", U.normalise(F.col("url"))).where("norm IS NOT NULL")
         one = keyed.groupBy("norm").agg(F.min_by(F.struct("url", "status", "headers", "body"), F.struct((F.col("status") != 200).alias("bad"), F.col("url").alias("u"))).alias("r")).select("norm", "r.*")
-        return extract_documents(with_mime(one), extra=self.extractors).select("norm", F.col("url").alias("final_url"), "status", "mime", "extracted")
+        declared = F.try_element_at("headers", F.lit("content-length")).try_cast("bigint")
+        limit = max(self.html_limit, self.pdf_limit) if self.enable_pdf else self.html_limit
+        sized = with_mime(one.withColumn("fetch_error", body_error(F.col("body"), declared, limit)).withColumn("body", F.when(F.col("fetch_error").isNull(), F.col("body"))))
+        cut = F.when((F.col("mime") != "application/pdf") & (F.octet_length("body") > self.html_limit), F.decode(F.substring("body", 1, self.html_limit), "UTF-8")).otherwise(F.col("body_text"))
+        found = extract_documents(sized.withColumn("body_text", cut), extra=self.extractors).select("norm", F.col("url").alias("final_url"), "status", "mime", "extracted", "fetch_error")
+        if self.redirects is None:
+            return found
+        found = keep(found)
+        chains = policy.redirect_chain(self.redirects.select(F.col("from_url").alias("url")).distinct(), self.redirects)
+        chains = chains.withColumn("start", U.normalise(F.col("url"))).where("start IS NOT NULL AND (hops > 0 OR error IS NOT NULL)").withColumnRenamed("error", "broken")
+        chains = self.checked(chains.drop("url").withColumnRenamed("final_url", "url")).withColumn("norm", U.normalise(F.col("url")))
+        # What a broken chain is called as an error of a request.
+        name = F.when(F.col("broken") == "LOOP", "REDIRECT_LOOP").otherwise(F.col("broken"))
+        chains = chains.groupBy("start").agg(F.min(F.struct("url", "norm", F.coalesce(name, "error").alias("why"))).alias("c")).select("start", F.col("c.norm").alias("norm"), F.col("c.url").alias("end"), F.col("c.why").alias("why"))
+        moved = chains.join(found, "norm", "left").select(F.col("start").alias("norm"), F.coalesce("final_url", "end").alias("final_url"), F.when(F.col("why").isNull(), F.col("status")).alias("status"), "mime", F.when(F.col("why").isNull(), F.col("extracted")).alias("extracted"), F.coalesce("why", "fetch_error").alias("fetch_error"))
+        return found.join(chains.select(F.col("start").alias("norm")), "norm", "left_anti").unionByName(moved)
 
     def observed(self, plan: DataFrame, documents: DataFrame) -> DataFrame:
         """query_id, url, anchor_text, lastmod, priority, pos: sitemap entries of the request's origin, then the root page's links."""
@@ -84,7 +108,7 @@ class Engine:
     def navigation(self, plan: DataFrame, documents: DataFrame, observed: DataFrame) -> DataFrame:
         """query_id, resolved, method, resolved_url, target: exact or redirect where the root answered 200, else repair among the
         observed URLs of the request's origin."""
-        root = plan.select("query_id", "url", "norm", "origin", "error").join(documents.select("norm", "final_url", "status"), "norm", "left")
+        root = plan.select("query_id", "url", "norm", "origin", "error").join(documents.select("norm", "final_url", "status", "fetch_error"), "norm", "left").withColumn("error", F.coalesce("error", "fetch_error"))
         seen = observed.select("query_id", F.col("url").alias("seen"), F.col("norm").alias("seen_norm"), "anchor_text", "priority", "pos")
         lost = root.where("error IS NULL AND coalesce(status, 0) <> 200").select("query_id", "url", "origin")
         scored = lost.join(seen, "query_id").where(U.origin(F.col("seen")) == F.col("origin"))
@@ -95,10 +119,10 @@ class Engine:
         method = F.when(F.col("error").isNotNull(), "none").when(good & (U.normalise(F.col("final_url")) != F.col("norm")), "redirect").when(good, "exact").when(F.col("best").isNotNull(), "path_similarity").otherwise("none")
         resolved = F.when(F.col("error").isNull(), F.when(good, F.col("final_url")).otherwise(F.col("best.seen")))
         target = F.when(F.col("error").isNull(), F.when(good, F.col("norm")).otherwise(F.col("best.seen_norm")))
-        return rows.select("query_id", resolved.isNotNull().alias("resolved"), method.alias("method"), resolved.alias("resolved_url"), target.alias("target"), F.when(resolved.isNull() & F.col("error").isNull(), "no_safe_url_match").alias("reason"))
+        return rows.select("query_id", resolved.isNotNull().alias("resolved"), method.alias("method"), resolved.alias("resolved_url"), target.alias("target"), F.when(resolved.isNull() & F.col("error").isNull(), "no_safe_url_match").alias("reason"), F.col("fetch_error"))
 
-    def evidence(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """plan, navigation, sources and evidence."""
+    def evidence(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """plan, navigation, sources, evidence and counts."""
         # stages that several later ones read are kept: pages are parsed once, and plans stay small
         plan = keep(self.plan(requests))
         documents = keep(self.documents())
@@ -107,9 +131,8 @@ class Engine:
         asked = plan.where("error IS NULL").select("query_id", F.col("url").alias("base"), "query", "mode", "max_pages", "max_internal_requests", "as_of")
         root = asked.join(nav.where("resolved").select("query_id", F.col("target").alias("norm")), "query_id").withColumn("rank", F.lit(0))
         others = asked.join(observed, "query_id").join(root.select("query_id", F.col("norm").alias("__root")), "query_id", "left").where("__root IS NULL OR norm <> __root")
-        others = policy.robots_allowed(others, self._table(self.robots, "origin string, status int, text string")).where("allowed").drop("allowed")
-        if self.allow is not None or self.deny is not None:
-            others = policy.domain_policy(others, self.allow, self.deny)
+        considered = others.groupBy("query_id").agg(F.count("*").alias("candidates_considered"))
+        others = self.checked(others).where("error IS NULL").drop("error")
         score = url_score(F.col("url"), F.col("query"), F.col("base"), F.col("as_of"), F.col("anchor_text"), None, F.col("lastmod"), F.col("priority"))
         ranked = others.withColumn("score", score)
         ranked = rank_candidates(self.rank(ranked) if self.rank else ranked, F.col("max_pages") - 1)
@@ -118,28 +141,37 @@ class Engine:
         visits = budget_cut(root.select(*columns).unionByName(ranked.select(*columns)).withColumn("cost", F.lit(1)), F.col("max_internal_requests"))
         pages = visits.join(documents.where("status = 200"), "norm")
         found = keep(passages(pages.select("query_id", "norm", "rank", "query", F.col("extracted.text").alias("text"))))
+        tried = visits.groupBy("query_id").agg(F.count("*").alias("http_requests"))
+        wanted = ranked.groupBy("query_id").agg(F.count("*").alias("kept"))
+        counts = asked.select("query_id").join(considered, "query_id", "left").join(tried, "query_id", "left").join(wanted, "query_id", "left").na.fill(0)
+        dropped, short = F.col("candidates_considered") - F.col("kept"), F.col("http_requests") < F.col("kept")
+        counts = counts.select("query_id", "http_requests", "candidates_considered", dropped.alias("candidates_dropped"), short.alias("budget_exhausted"))
         good = found.groupBy("query_id", "norm").agg(F.count_if(F.col("relevance") >= P.GOOD).alias("n_good"))
         kept = stop_prefix(pages.join(good, ["query_id", "norm"], "left").withColumn("n_good", F.coalesce("n_good", F.lit(0))))
         sources = kept.select("query_id", "norm", "rank", F.col("final_url").alias("url"), F.col("extracted.title").alias("title"), "mime", "status", source_score(F.col("status"), F.col("extracted.title")).alias("score"), F.col("extracted.requires_browser").alias("shell"), F.col("extracted.metadata").alias("metadata"))
         rows = found.join(sources.select("query_id", "norm", F.col("url").alias("source_url")), ["query_id", "norm"]).withColumn("encounter", F.struct("rank", "window_no"))
         fused = top_evidence(dedupe_passages(rows.drop("rank"), ["encounter"]), ties=("encounter",))
-        return plan, nav, source_relevance(sources, fused), fused.select("query_id", "rank", "source_url", "text", "section", "relevance")
+        return plan, nav, source_relevance(sources, fused), fused.select("query_id", "rank", "source_url", "text", "section", "relevance"), counts
 
     def retrieve(self, requests: DataFrame) -> DataFrame:
         """One row per request: query_id, url, query, mode, status, navigation, sources, evidence, diagnostics, error."""
-        plan, nav, sources, evidence = self.evidence(requests)
+        plan, nav, sources, evidence, counts = self.evidence(requests)
         ev = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_url", "text", "section", "relevance"))).alias("evidence"))
         own = sources.groupBy("query_id").agg(
             F.array_sort(F.collect_list(F.struct("rank", "url", "title", F.col("mime").alias("type"), "relevance", F.col("status").alias("http_status")))).alias("sources"),
             F.max(F.when(F.col("rank") == 0, F.col("shell"))).alias("shell"),
             F.max_by("metadata", -F.col("rank")).alias("meta"),
         )
-        rows = plan.join(nav, "query_id", "left").join(own, "query_id", "left").join(ev, "query_id", "left")
+        rows = plan.join(nav, "query_id", "left").join(own, "query_id", "left").join(ev, "query_id", "left").join(counts, "query_id", "left").withColumn("error", F.coalesce("error", "fetch_error"))
         some = F.size(F.coalesce("evidence", F.array())) > 0
-        status = F.when(F.col("error") == "ROBOTS_DISALLOWED", "blocked").when(F.col("error").isNotNull(), "failed").when(F.coalesce("shell", F.lit(False)) & ~some, "js_required").when(some, "success").otherwise("not_found")
+        status = F.when(F.col("error").isin("ROBOTS_DISALLOWED", "DOMAIN_DENIED"), "blocked").when(F.col("error").isNotNull(), "failed").when(F.coalesce("shell", F.lit(False)) & ~some, "js_required").when(some, "success").otherwise("not_found")
         return rows.select(
             "query_id", "url", "query", "mode", status.alias("status"), F.struct("resolved", "method", "resolved_url", "reason").alias("navigation"), "sources", "evidence",
-            F.struct(F.size(F.coalesce("sources", F.array())).alias("pages_fetched"), F.size(F.coalesce("evidence", F.array())).alias("passages")).alias("diagnostics"),
+            F.struct(
+                F.coalesce("http_requests", F.lit(0)).alias("http_requests"), F.size(F.coalesce("sources", F.array())).alias("pages_fetched"), F.size(F.filter(F.coalesce("sources", F.array().cast(SOURCES)), lambda x: x["type"] != "unknown")).alias("documents_parsed"),
+                F.coalesce("candidates_considered", F.lit(0)).alias("candidates_considered"), F.coalesce("candidates_dropped", F.lit(0)).alias("candidates_dropped"), F.coalesce("budget_exhausted", F.lit(False)).alias("budget_exhausted"),
+                F.col("mode").alias("mode"), F.size(F.coalesce("evidence", F.array())).alias("passages"),
+            ).alias("diagnostics"),
             F.when(status == "js_required", F.col("meta")).alias("shell_meta"), "error",
         )
 
@@ -161,7 +193,7 @@ def url_arguments(urls: F.Column, url: F.Column) -> F.Column:
 
 def text_block(results: DataFrame) -> DataFrame:
     """query_id, text: a result as a block of text for a tool's answer."""
-    titles = F.map_from_entries(F.transform(F.coalesce("sources", F.array().cast("array<struct<rank:int,url:string,title:string,type:string,relevance:double,http_status:int>>")), lambda s: F.struct(s["url"], F.coalesce(s["title"], s["url"]))))
+    titles = F.map_from_entries(F.transform(F.coalesce("sources", F.array().cast(SOURCES)), lambda s: F.struct(s["url"], F.coalesce(s["title"], s["url"]))))
     item = lambda e: F.concat_ws("\n", F.concat(F.lit("\n["), e["source_url"], F.lit("] "), F.coalesce(F.try_element_at(titles, e["source_url"]), e["source_url"])), F.concat(F.lit("Section: "), e["section"]), e["text"], F.concat(F.lit("(relevance: "), F.format_string("%.2f", e["relevance"]), F.lit(")")))
     n = lambda c: F.size(F.coalesce(c, F.array())).cast("string")
     head = F.concat_ws("\n", F.concat(F.lit("STATUS: "), F.upper("status")), F.concat(F.lit("QUERY: "), F.col("query")), F.concat(F.lit("SOURCES FETCHED: "), n("sources")), F.concat(F.lit("EVIDENCE PASSAGES: "), n("evidence")))

@@ -1,15 +1,42 @@
-"""Stage boundaries: a frame computed once, kept in the cluster's shared checkpoint folder."""
+"""Stage boundaries: a frame computed once, kept as Parquet in the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended before
+            return
+
+
+atexit.register(_sweep)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, on a local master alone: executors elsewhere wouldn't see it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="gleanery-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in spark.checkpoint.dir (a temporary one only where that is unset) and read back, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleanery-"))
-    return df.checkpoint()
+    """`df` written as a Parquet table and read back: its lineage is cut, and later stages read only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/gleanery-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

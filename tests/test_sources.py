@@ -113,3 +113,36 @@ def test_streams(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert spark.table(name).count() == n
+
+
+def test_policy_holds_for_every_url(spark):
+    html = {"content-type": "text/html"}
+    page = lambda links: bytearray(f"<html><head><title>Docs page</title></head><body><p>the cache expires after five minutes and is cleared on restart</p>{links}</body></html>".encode())
+    hrefs = "".join(f'<a href="{u}">cache</a>' for u in ("/ok", "http://169.254.169.254/x", "/moved"))
+    fetched = spark.createDataFrame(
+        [("https://a.com/", 200, html, page(hrefs)), ("https://a.com/ok", 200, html, page("")), ("https://a.com/target", 200, html, page("")), ("https://deny.com/", 200, html, page("")), ("https://sub.deny.com/x", 200, html, page("")), ("https://big.com/", 200, html | {"content-length": "9999999999"}, page("")), ("http://10.0.0.9/", 200, html, page(""))],
+        schemas.FETCHED,
+    )
+    at = datetime(2026, 1, 1)
+    asked = ["https://a.com/", "https://deny.com/", "https://sub.deny.com/x", "https://big.com/", "https://a.com/moved", "https://a.com/loop", "https://a.com/in"]
+    requests = spark.createDataFrame([(i, 0, u, "cache expires", "deep", None, None, at) for i, u in enumerate(asked)], schemas.REQUESTS)
+    redirects = spark.createDataFrame([("https://a.com/moved", "/target"), ("https://a.com/loop", "/loop2"), ("https://a.com/loop2", "/loop"), ("https://a.com/in", "http://10.0.0.9/")], schemas.REDIRECTS)
+    found = spark.createDataFrame([(0, "http://10.0.0.9/", "cache", ""), (0, "https://sub.deny.com/x", "cache", ""), (0, "ftp://a.com/", "cache", "")], "query_id long, url string, title string, snippet string")
+    engine = Engine(spark, fetched, deny=spark.createDataFrame([("deny.com",)], "domain string"), discovered=found, redirects=redirects)
+    rows = {r.query_id: r for r in engine.retrieve(requests).collect()}
+    assert [(rows[i].status, rows[i].error) for i in range(7)] == [
+        ("success", None), ("blocked", "DOMAIN_DENIED"), ("blocked", "DOMAIN_DENIED"), ("failed", "RESPONSE_TOO_LARGE"), ("success", None), ("failed", "REDIRECT_LOOP"), ("failed", "SSRF_BLOCKED"),
+    ]
+    assert {s.url for s in rows[0].sources} == {"https://a.com/", "https://a.com/ok", "https://a.com/target"}
+    assert (rows[4].navigation.method, rows[4].navigation.resolved_url) == ("redirect", "https://a.com/target")
+    d = rows[0].diagnostics
+    assert (d.http_requests, d.pages_fetched, d.documents_parsed, d.candidates_considered, d.mode, d.budget_exhausted) == (3, 3, 3, 4, "deep", False)
+
+
+def test_schedule(spark):
+    from gleanery.operators.policy import schedule
+
+    rows = [(1, "a", datetime(2026, 1, 1, 0, 0, 0)), (2, "a", datetime(2026, 1, 1, 0, 0, 0)), (3, "a", datetime(2026, 1, 1, 0, 0, 9)), (4, "b", datetime(2026, 1, 1)), (5, "b", datetime(2026, 1, 1))]
+    delays = spark.createDataFrame([("a", 2.0)], "host string, crawl_delay double")
+    got = {r.request_id: r.wait_ms for r in schedule(spark.createDataFrame(rows, "request_id long, host string, ts timestamp"), delays).collect()}
+    assert got == {1: 0, 2: 2000, 3: 0, 4: 0, 5: 500}
