@@ -17,6 +17,7 @@ from ..operators import policy as R
 from ..sources import formats as S
 from ..sources import schemas
 from ..streaming.pages import cache_live
+from . import derived
 from . import fixtures as X
 from .retrieve import Engine, best_result, text_block
 
@@ -259,33 +260,6 @@ def feed_items(spark, sf_dir):
     return S.feed_items(X.frame(spark, X.FEEDS, "url string, body string")).select("url", F.col("pos").cast("long").alias("pos"), "title", "date", "summary", "link")
 
 
-def _html(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(X.frame(spark, [(-i, u, h) for i, u, h in X.STRUCTURED], "page_id long, url string, html string"))
-    return S.extract_html(pages)
-
-
-def html_structural(spark, sf_dir):
-    return _html(spark, sf_dir).select("page_id", "extracted.text", "extracted.structured", "extracted.sections")
-
-
-def html_metadata(spark, sf_dir):
-    meta = S.page_metadata(F.col("extracted.metadata"))
-    return _html(spark, sf_dir).select("page_id", meta["title"].alias("title"), meta["description"].alias("description"), U.resolve(F.col("extracted.canonical"), F.col("url")).alias("canonical"))
-
-
-def html_tables(spark, sf_dir):
-    rows = _html(spark, sf_dir).select("page_id", F.posexplode("extracted.tables").alias("pos", "t"))
-    return rows.select("page_id", "pos", "t.caption", S.table_markdown(F.col("t.rows")).alias("markdown"))
-
-
-def structured_data(spark, sf_dir):
-    return _html(spark, sf_dir).select("page_id", F.array_join("extracted.json_ld", "\n").alias("json_ld"), F.to_json("extracted.microdata").alias("microdata"))
-
-
-def spa_shell(spark, sf_dir):
-    return _html(spark, sf_dir).select("page_id", "extracted.requires_browser")
-
-
 def _engine(spark, sf_dir) -> tuple[Engine, DataFrame]:
     pages = table(spark, sf_dir, "pages")
     fetched = pages.select("url", F.lit(200).alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.encode("html", "UTF-8").alias("body"))
@@ -321,13 +295,14 @@ def host_gap(spark, sf_dir):
 
 
 NAMES = [
-    "tokenize_terms", "term_df", "bm25_corpus", "bm25_passages", "passage_windows", "dedupe_passages", "evidence_top10_diverse", "source_relevance", "score_source", "normalise_url", "dedupe_urls",
-    "url_origin_counts", "url_depth", "url_score", "recency_score", "page_title", "page_links", "same_origin_links", "anchor_overlap", "candidate_rank", "stop_prefix", "budget_cut", "url_repair", "path_similarity",
-    "infer_mode", "resolve_budget", "expand_tokens", "robots_allowed", "robots_groups", "ssrf_ipv4", "ssrf_ipv6", "safe_port", "url_error", "domain_policy", "redirect_chain", "retry_delay", "mime_detect", "json_flatten",
-    "json_paths", "bare_url_links", "strip_tags", "sitemap_entries", "sitemap_discovery", "feed_items", "html_structural", "html_metadata", "html_tables", "structured_data", "spa_shell", "retrieve_results", "tool_text", "best_call_result",
-    "cache_ttl", "host_gap",
+    "tokenize_terms", "term_df", "bm25_corpus", "bm25_passages", "passage_windows", "dedupe_passages", "evidence_top10_diverse", "source_relevance", "score_source", "normalise_url", "dedupe_urls", "url_origin_counts",
+    "url_depth", "url_score", "recency_score", "page_title", "page_links", "same_origin_links", "anchor_overlap", "candidate_rank", "stop_prefix", "budget_cut", "path_similarity", "infer_mode", "domain_policy",
+    "json_flatten", "json_paths", "bare_url_links", "strip_tags", "retrieve_results", "tool_text", "best_call_result", "cache_ttl", "host_gap",
 ]
 
 
+INLINE = ["url_repair", "resolve_budget", "expand_tokens", "robots_allowed", "robots_groups", "ssrf_ipv4", "ssrf_ipv6", "safe_port", "url_error", "redirect_chain", "retry_delay", "mime_detect", "sitemap_entries", "sitemap_discovery", "feed_items"]
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES}
+    return {name: globals()[name] for name in NAMES} | derived.queries()

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gleanery.plans import oracle, queries
+from gleanery.plans import derived, oracle, queries
 
 SF = "/root/testdata/sf0.001"
-FAST = ["bm25_corpus", "normalise_url", "robots_allowed", "robots_groups", "ssrf_ipv6", "mime_detect", "url_repair", "retry_delay", "sitemap_discovery", "page_links", "bm25_passages"]
+FAST = ["bm25_corpus", "normalise_url", "page_links", "bm25_passages", *derived.NAMES]
+TABLES = ("documents", "pages", "conversations", "events", "orders", "customer", "supplier", "part", "benchmark")
 
 
 def test_names():
@@ -22,12 +23,20 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", FAST)
 def test_against_duckdb(spark, name):
+    matches(oracle.oracle_sql()[name], queries.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", queries.INLINE)
+def test_inline_cases(spark, name):
+    matches(oracle.inline_sql()[name], getattr(queries, name)(spark, SF))
+
+
+def matches(sql, df):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations", "events", "orders"):
+    for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    cursor = con.execute(oracle.oracle_sql()[name])
+    cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     expected = sorted(map(repr, cursor.fetchall()))
-    df = queries.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(names)
     assert sorted(repr(tuple(r[c] for c in names)) for r in df.collect()) == expected
