@@ -200,13 +200,19 @@ def blocked_ip(ip: Column) -> Column:
     return let(ip, lambda x: x.isin(METADATA_IPS) | F.when(F.contains(x, F.lit(":")), blocked_ipv6(x)).otherwise(blocked_ipv4(x)))
 
 
-def ssrf(urls: DataFrame, dns: DataFrame) -> DataFrame:
+def private_host(host: Column) -> Column:
+    """Whether a host is localhost or a literal address that must not be fetched."""
+    return let(F.regexp_replace(host, r"^\[|\]$", ""), lambda h: (h == "localhost") | F.endswith(h, F.lit(".localhost")) | F.coalesce(blocked_ip(h), F.lit(False)))
+
+
+def ssrf(urls: DataFrame, dns: DataFrame | None = None) -> DataFrame:
     """`urls` with ssrf_blocked: a literal or any resolved address is blocked, or the host is localhost. Unresolved hosts pass."""
-    host = F.regexp_replace(U.host(F.col("url")), r"^\[|\]$", "")
+    blocked = F.coalesce(private_host(U.host(F.col("url"))), F.lit(False))
+    if dns is None:
+        return urls.withColumn("ssrf_blocked", blocked)
     bad = dns.groupBy(F.lower("host").alias("__host")).agg(F.bool_or(blocked_ip(F.col("address"))).alias("__bad"))
-    rows = urls.withColumn("__h", host).join(bad, F.col("__h") == F.col("__host"), "left")
-    blocked = (F.col("__h") == "localhost") | F.endswith("__h", F.lit(".localhost")) | F.coalesce(blocked_ip(F.col("__h")), F.lit(False)) | F.coalesce("__bad", F.lit(False))
-    return rows.select(*[F.col(c) for c in urls.columns], F.coalesce(blocked, F.lit(False)).alias("ssrf_blocked"))
+    rows = urls.withColumn("__h", F.regexp_replace(U.host(F.col("url")), r"^\[|\]$", "")).join(bad, F.col("__h") == F.col("__host"), "left")
+    return rows.select(*[F.col(c) for c in urls.columns], (blocked | F.coalesce("__bad", F.lit(False))).alias("ssrf_blocked"))
 
 
 # --- redirects and domains --------------------------------------------------------------------
@@ -260,9 +266,14 @@ def domain_policy(urls: DataFrame, allow: DataFrame | None = None, deny: DataFra
     return domain_permitted(urls, allow, deny).where("permitted").drop("permitted")
 
 
-def visitable(urls: DataFrame, robots: DataFrame, dns: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
-    """`urls` with error, the first of a URL's own error, SSRF_BLOCKED, DOMAIN_DENIED and ROBOTS_DISALLOWED; null for one that may be fetched."""
-    rows = robots_allowed(domain_permitted(ssrf(urls, dns), allow, deny), robots)
+def visitable(urls: DataFrame, robots: DataFrame | None = None, dns: DataFrame | None = None, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """`urls` with error, the first of a URL's own error, SSRF_BLOCKED, DOMAIN_DENIED and ROBOTS_DISALLOWED; null for one that may be fetched.
+
+    Tables that aren't given forbid nothing.
+    """
+    rows = ssrf(urls, dns)
+    rows = domain_permitted(rows, allow, deny) if allow is not None or deny is not None else rows.withColumn("permitted", F.lit(True))
+    rows = robots_allowed(rows, robots) if robots is not None else rows.withColumn("allowed", F.lit(True))
     error = F.coalesce(U.url_error(F.col("url")), F.when(F.col("ssrf_blocked"), "SSRF_BLOCKED"), F.when(~F.col("permitted"), "DOMAIN_DENIED"), F.when(~F.col("allowed"), "ROBOTS_DISALLOWED"))
     return rows.withColumn("error", error).drop("ssrf_blocked", "permitted", "allowed")
 

@@ -64,8 +64,9 @@ class Engine:
         return self.checked(rows).withColumn("norm", U.normalise(F.col("url"))).withColumn("origin", U.origin(F.col("url")))
 
     def checked(self, urls: DataFrame) -> DataFrame:
-        """`urls` with the error that forbids fetching each, if any."""
-        return policy.visitable(urls, self._table(self.robots, schemas.ROBOTS), self._table(self.dns, schemas.DNS), self.allow, self.deny)
+        """`urls` with the error that forbids fetching each, if any; a URL is judged once."""
+        verdicts = policy.visitable(urls.select("url").distinct(), self.robots, self.dns, self.allow, self.deny)
+        return urls.join(keep(verdicts).withColumnRenamed("url", "__url"), F.col("url").eqNullSafe(F.col("__url"))).drop("__url")
 
     def documents(self) -> DataFrame:
         """One extracted document per normalised URL of `fetched`, 200 answers first, and per URL that redirects to one; fetch_error tells why one can't be had."""
@@ -75,7 +76,8 @@ class Engine:
         limit = max(self.html_limit, self.pdf_limit) if self.enable_pdf else self.html_limit
         sized = with_mime(one.withColumn("fetch_error", body_error(F.col("body"), declared, limit)).withColumn("body", F.when(F.col("fetch_error").isNull(), F.col("body"))))
         cut = F.when((F.col("mime") != "application/pdf") & (F.octet_length("body") > self.html_limit), F.decode(F.substring("body", 1, self.html_limit), "UTF-8")).otherwise(F.col("body_text"))
-        found = extract_documents(sized.withColumn("body_text", cut), extra=self.extractors).select("norm", F.col("url").alias("final_url"), "status", "mime", "extracted", "fetch_error")
+        typed = keep(sized.select("norm", "url", "status", "mime", "fetch_error", cut.alias("body_text")))  # the type is told once for all readers
+        found = extract_documents(typed, extra=self.extractors).select("norm", F.col("url").alias("final_url"), "status", "mime", "extracted", "fetch_error")
         if self.redirects is None:
             return found
         found = keep(found)
