@@ -66,35 +66,45 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((tri + 10 * p2[None]) / (tri.sum(2, keepdims=True) + 10))
 
 
+def arcs_of(ch: str, n: int) -> list[tuple[str, float]]:
+    """Readings of a run of n equal characters, and their costs."""
+    arcs: list[tuple[str, float]] = []
+    if ch == " ":
+        arcs = [("", 0.2 if n == 1 else 2.0), (" ", BREAK_COST)]
+    elif ch in SEPARATORS:
+        arcs = [("", SEPARATOR_COST), (" ", BREAK_COST)]
+    elif ch.isalpha():
+        arcs = [(ch, (0.0, PAIR_COST, SHRINK_COST)[min(n, 3) - 1])] + ([(ch * 2, 0.0 if n == 2 else SHRINK_COST)] if n > 1 else [])
+    for letter in LOOKALIKES.get(ch, ""):
+        arcs += [(letter, LEET_COST)] + ([(letter * 2, LEET_COST + SHRINK_COST)] if n > 1 else [])
+    if not arcs or (not ch.isalpha() and ch not in " " + SEPARATORS):
+        arcs.append((ch * n, LITERAL_COST))
+    return arcs
+
+
 def decode(token: str, model: np.ndarray) -> str:
-    """The most likely reading of one token or run of spaced letters; a space in it ends a word."""
-    states = {(0, 0): (0.0, "")}
+    """The most likely reading of one token or run of spaced letters; a space in it ends a word. Each state keeps its best
+    cost and a pointer to the step before it."""
+    states: dict = {(0, 0): (0.0, None)}
     for m in re.finditer(r"(.)\1*", token, re.S):
-        ch, n = m[1], len(m[0])
-        arcs: list[tuple[str, float]] = []
-        if ch == " ":
-            arcs = [("", 0.2 if n == 1 else 2.0), (" ", BREAK_COST)]
-        elif ch in SEPARATORS:
-            arcs = [("", SEPARATOR_COST), (" ", BREAK_COST)]
-        elif ch.isalpha():
-            arcs = [(ch, (0.0, PAIR_COST, SHRINK_COST)[min(n, 3) - 1])] + ([(ch * 2, 0.0 if n == 2 else SHRINK_COST)] if n > 1 else [])
-        for letter in LOOKALIKES.get(ch, ""):
-            arcs += [(letter, LEET_COST)] + ([(letter * 2, LEET_COST + SHRINK_COST)] if n > 1 else [])
-        if not arcs or (not ch.isalpha() and ch not in " " + SEPARATORS):
-            arcs.append((ch * n, LITERAL_COST))
+        arcs = [(out, price, [_class(c) for c in out]) for out, price in arcs_of(m[1], len(m[0]))]
         new: dict = {}
-        for (a, b), (cost, text) in states.items():
-            for out, price in arcs:
+        for (a, b), (cost, path) in states.items():
+            for out, price, classes in arcs:
                 x, y, total = a, b, cost + price
-                for c in out:
-                    z = _class(c)
+                for z in classes:
                     total -= model[x, y, z]
                     x, y = y, z
                 old = new.get((x, y))
                 if old is None or total < old[0]:
-                    new[x, y] = (total, text + out)
+                    new[x, y] = (total, (path, out))
         states = new
-    return min(((cost - model[a, b, 0], text) for (a, b), (cost, text) in states.items()), default=(0, token))[1]
+    path = min(((cost - model[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+    out = []
+    while path is not None:
+        path, last = path
+        out.append(last)
+    return "".join(reversed(out))
 
 
 def restored(text: str, model: np.ndarray, cache: dict) -> bytes:
