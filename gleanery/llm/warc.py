@@ -29,23 +29,30 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 MIN_REVISIT = 100
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 8 * 1024 * 1024
+CAPTURED = "1970-01-01T00:00:00Z"  # for tables that don't say when a page was fetched
 
 BUNDLE = "bundle string, content binary, records array<struct<record_id:string,frame:int,offset:long,length:long>>"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, body binary"
 
 
-def encode_record(page_id, url, payload: bytes, digest: str, first) -> tuple[str, bytes]:
-    """A WARC/1.1 record and its identifier. A revisit record names the response it refers to and has no body."""
-    target = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else ""
-    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{target}|{digest}')}>"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id}"]
+def _uri(url: str | None) -> str:
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else ""
+
+
+def encode_record(page_id, url, payload: bytes, digest: str, first=None, first_url: str | None = None, place: str = "", captured: str = CAPTURED) -> tuple[str, bytes]:
+    """A WARC/1.1 record and its identifier, which `place` tells apart from a repeated row's. A revisit record names the response it refers to and has no body."""
+    target = _uri(url)
+    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{target}|{digest}|{place}')}>"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {captured}"]
     if target:
         lines.append(f"WARC-Target-URI: {target}")
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if first is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {first}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {captured}", f"X-Refers-To-Page: {first}"]
+        if first_url:
+            lines.append(f"WARC-Refers-To-Target-URI: {_uri(first_url)}")
         payload = b""
     lines.append(f"Content-Length: {len(payload)}")
     return record_id, "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -95,43 +102,48 @@ def _digests(batches):
         )
 
 
-def _bundles(batches):
-    import zstandard
-
-    packer = zstandard.ZstdCompressor(level=3)
-    frames, records, buffer, size = [], [], bytearray(), 0
-
-    def close_frame():
-        nonlocal buffer, size
-        if buffer:
-            frames.append((packer.compress(bytes(buffer)), len(buffer)))
-            size += len(frames[-1][0])
-            buffer = bytearray()
-
-    def close_bundle():
-        nonlocal frames, records, size
-        close_frame()
-        content = seal(frames)
-        name = hashlib.sha256(content).hexdigest()[:32] + ".warc.zst"
-        row = pa.RecordBatch.from_pylist([{"bundle": name, "content": content, "records": records}], schema=schema)
-        frames, records, size = [], [], 0
-        return row
-
-    schema = pa.schema(
-        [("bundle", pa.string()), ("content", pa.binary()), ("records", pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])))]
-    )
-    for batch in batches:
-        pages = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-        for page_id, url, html, digest, first in pages:
-            record_id, data = encode_record(page_id, url, html, digest, first)
-            records.append({"record_id": record_id, "frame": len(frames), "offset": len(buffer), "length": len(data)})
-            buffer += data
-            if len(buffer) >= FRAME_BYTES:
-                close_frame()
-                if size >= BUNDLE_BYTES:
-                    yield close_bundle()
-    if records:
-        yield close_bundle()
+def _bundles(captured: str):
+    def run(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        packer, part, done = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        frames, records, buffer, size = [], [], bytearray(), 0
+
+        def close_frame():
+            nonlocal buffer, size
+            if buffer:
+                frames.append((packer.compress(bytes(buffer)), len(buffer)))
+                size += len(frames[-1][0])
+                buffer = bytearray()
+
+        def close_bundle():
+            nonlocal frames, records, size
+            close_frame()
+            content = seal(frames)
+            name = hashlib.sha256(content).hexdigest()[:32] + ".warc.zst"
+            row = pa.RecordBatch.from_pylist([{"bundle": name, "content": content, "records": records}], schema=schema)
+            frames, records, size = [], [], 0
+            return row
+
+        schema = pa.schema(
+            [("bundle", pa.string()), ("content", pa.binary()), ("records", pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])))]
+        )
+        for batch in batches:
+            pages = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            for page_id, url, html, digest, first, first_url in pages:
+                done += 1
+                record_id, data = encode_record(page_id, url, html, digest, first, first_url, f"{part}:{done}", captured)
+                records.append({"record_id": record_id, "frame": len(frames), "offset": len(buffer), "length": len(data)})
+                buffer += data
+                if len(buffer) >= FRAME_BYTES:
+                    close_frame()
+                    if size >= BUNDLE_BYTES:
+                        yield close_bundle()
+        if records:
+            yield close_bundle()
+
+    return run
 
 
 def _records(batches):
@@ -167,27 +179,29 @@ _RECORDS = pa.schema(
 )
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: str = CAPTURED) -> DataFrame:
     """Bundles of one WARC record per row: bundle, content, records (the index); written to the shared folder.
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least MIN_REVISIT bytes the
     one with the smallest id is a response and the others are revisits of it; shorter ones are all responses.
     Rows that repeat that smallest id are responses too; a row without id can only be the response if no row
-    of its group has one, and then all of them are. Other columns are ignored. An empty table gives no bundles.
+    of its group has one, and then all of them are. Repeated rows have records of their own. `captured` is the records'
+    date. Payloads are kept whole, however long: a frame ends behind the record that fills it. Other columns are ignored. An
+    empty table gives no bundles.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string, n_bytes long")
     copies = (
-        rows.select("page_id", "digest", "n_bytes")
+        rows.select("page_id", "url", "digest", "n_bytes")
         .where(F.col("n_bytes") >= MIN_REVISIT)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL")
-        .select(F.col("digest").alias("copy_digest"), "first")
+        .select(F.col("digest").alias("copy_digest"), "first", "first_url")
     )
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first")
-    packed = rows.join(copies, F.col("digest") == F.col("copy_digest"), "left").select("page_id", "url", "html", "digest", first)
-    return materialise(packed.mapInArrow(_bundles, BUNDLE), "warc")
+    packed = rows.join(copies, F.col("digest") == F.col("copy_digest"), "left").select("page_id", "url", "html", "digest", first, "first_url")
+    return materialise(packed.mapInArrow(_bundles(captured), BUNDLE), "warc")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
