@@ -1,18 +1,18 @@
-"""Substring deduplication by minimiser buckets and names of fixed-depth word prefixes; no suffix tree is built.
+"""Substring deduplication by suffix trees over groups of variable-length word prefixes, in buckets of minimisers.
 
 A window is DEPTH consecutive words; one is a repeat if its word sequence also starts earlier (smaller id, or
 same document and earlier start). Three passes:
 
 1. Survey. Each window has a minimiser: the least hash of its GRAM-word runs. Equal windows have equal
    minimisers, so a window whose minimiser occurs once in the corpus can't be a repeat. About one minimiser in seven
-   words is exchanged; those seen twice within a task are settled there, so that a passage that a third of all
-   documents share travels once per task.
-2. Suffixes. The words of surviving windows, cut into runs of one minimiser, go to that minimiser's bucket. In
-   a task's own chunk first, then in each bucket, variable-length word prefixes split the suffixes into groups of
-   at most GROUP suffixes (a prefix with too many is extended by a word), after the whole bucket is in memory, and in
-   each group prefix doubling names every suffix's first DEPTH words. Of the suffixes of one name, which would be the
-   leaves below one node of depth DEPTH of a suffix tree, all but the first are repeats. Those that aren't first in
-   their own chunk are settled there and don't travel.
+   words is exchanged; those seen twice in a chunk of CHUNK_BYTES are settled there.
+2. Suffixes. The words of surviving windows, cut into runs of one minimiser, go to that minimiser's bucket: a suffix by
+   itself would carry its words DEPTH times over. They are settled in their own chunk, then in one of about the square root
+   of the partitions' number of parts of their bucket, then in the bucket; each time only what comes first goes on, so that
+   a passage that a third of all documents share meets in no task. Each time variable-length word prefixes split the
+   suffixes into groups of at most GROUP (a prefix with too many is extended by a word), a group's suffix tree is made as
+   suffix order and common prefix lengths, and its internal nodes of DEPTH words or more, nearest the root, are read off:
+   their labels are the maximal repeats. Of the leaves below such a node all but the first are repeats.
 3. Removal. Each document's words under a repeated window are dropped.
 
 Word identity inside a bucket is a 64-bit hash of the word's bytes; sequences are compared word by word.
@@ -32,6 +32,7 @@ from .common import gram_hashes, materialise, mix64, partitions, release_shuffle
 DEPTH = 20
 GRAM = 8
 RUN = 64
+LONGEST = 64  # words up to which common prefixes are told apart
 GROUP = 1 << 20
 CHUNK_BYTES = 8 << 20
 _LAST_ID = (1 << 63) - 1
@@ -77,45 +78,82 @@ def prefix_groups(words: np.ndarray, starts: np.ndarray, depth: int, bound: int)
             work.append((part[first:], at))
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """A name for each suffix: equal names, equal first `depth` words. Names of doubled prefixes are made from pairs of names."""
-
-    def names(keys: np.ndarray) -> np.ndarray:
-        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
-
-    reach = np.unique((starts[:, None] + np.arange(depth)[None, :]).ravel()) if len(starts) < 1000 else None
-    if reach is None:
-        mark = np.zeros(len(words) + 1, np.int32)
-        np.add.at(mark, starts, 1)
-        np.add.at(mark, starts + depth, -1)
-        reach = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-    name = np.zeros(len(words), np.int64)
-    name[reach] = names(words[reach])
-    known = 1
-    while known < depth:
-        step = min(known, depth - known)
-        inside = reach[reach + step < len(words)]
-        pair = np.zeros(len(words), np.int64)
-        pair[inside] = names((name[inside] << 32) | name[inside + step])
-        name, known = pair, known + step
-    return name[starts]
-
-
-def later_leaves(words: np.ndarray, starts: np.ndarray, ids: np.ndarray, places: np.ndarray, depth: int, bound: int) -> np.ndarray:
-    """Which suffixes start later than another with the same first `depth` words; ids and places give their order."""
+def subtree(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree of suffixes at `starts`, as their order and the longest common prefix of each with the one before it.
+
+    `ends` tells where the run of words around each place ends; prefixes count up to `longest`, a power of two. Ranks of prefixes
+    of doubled length are made from pairs of ranks; common prefixes are read off the ranks, longest first.
+    """
+    mark = np.zeros(len(words) + 1, np.int32)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, np.minimum(starts + longest, ends[starts]), -1)
+    reach = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+    where = np.full(len(words), -1, np.int32)
+    where[reach] = np.arange(len(reach), dtype=np.int32)
+    stop = ends[reach]
+
+    def moved(at: np.ndarray, step: int) -> np.ndarray:
+        """Rows `step` words behind the rows `at`, -1 beyond the run."""
+        place = reach[at] + step
+        inside = (at >= 0) & (place < stop[at])
+        return np.where(inside, where[np.where(inside, place, 0)], -1)
+
+    def ranks(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+
+    levels = [ranks(words[reach])]
+    rows = np.arange(len(reach))
+    while 1 << (len(levels) - 1) < longest:
+        after = moved(rows, 1 << (len(levels) - 1))
+        levels.append(ranks(levels[-1] << 32 | np.where(after >= 0, levels[-1][after], 0)))
+    own = where[starts]
+    order = np.argsort(levels[-1][own], kind="stable")
+    a, b = own[order][:-1], own[order][1:]
+    room = np.minimum(stop[a] - reach[a], stop[b] - reach[b])
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        same = (a >= 0) & (b >= 0) & (levels[k][a] == levels[k][b])
+        common += same.astype(np.int64) << k
+        a, b = np.where(same, moved(a, 1 << k), a), np.where(same, moved(b, 1 << k), b)
+    return order, np.minimum(common, room)
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The internal nodes nearest the root that are `depth` words deep or more: first leaf, last leaf and string depth of each.
+    A node's label is a repeat that can't be made longer without losing an occurrence."""
+    deep = np.concatenate([[False], common >= depth, [False]])
+    edge = np.flatnonzero(deep[1:] != deep[:-1])
+    first, last = edge[::2], edge[1::2]
+    bounds = np.column_stack([first, last]).ravel()
+    lengths = np.minimum.reduceat(np.append(common, 0), bounds)[::2] if len(first) else common[:0]
+    return first, last, lengths
+
+
+def later_leaves(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, ids: np.ndarray, places: np.ndarray, depth: int, bound: int) -> np.ndarray:
+    """Which suffixes start later than another below the same deep node; ids and places give their order.
+
+    A group of more than `bound` suffixes shares all `depth` words: it is one node's leaves.
+    """
     late = np.zeros(len(starts), bool)
     where = np.zeros(len(words), np.int64)
     where[starts] = np.arange(len(starts))
     for part in prefix_groups(words, starts, depth, bound):
         if len(part) < 2:
             continue
-        at = where[part]
-        node = deep_nodes(words, part, depth) if len(part) <= bound else np.zeros(len(part), np.int64)
-        order = np.lexsort((places[at], ids[at], node))
-        node, doc, place = node[order], ids[at][order], places[at][order]
-        fresh = np.concatenate([[True], node[1:] != node[:-1]])
-        head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        late[at[order]] = (doc != doc[head]) | (place != place[head])
+        if len(part) <= bound:
+            order, common = subtree(words, ends, part, LONGEST)
+            first, last, _ = deep_nodes(common, depth)
+            leaves = where[part[order]]
+        else:
+            first, last, leaves = np.array([0]), np.array([len(part) - 1]), where[part]
+        sizes = last - first + 1
+        node = np.repeat(np.arange(len(first)), sizes)
+        at = leaves[np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)]
+        by = np.lexsort((places[at], ids[at], node))
+        at, node = at[by], node[by]
+        fresh = np.concatenate([[True], node[1:] != node[:-1]])[: len(node)]
+        head = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        late[at] = (ids[at] != ids[head]) | (places[at] != places[head])
     return late
 
 
@@ -260,7 +298,7 @@ def _by_document(ids, keys, values):
     return [(0, FOUND, int(i[0]), int(k[0]), v.tobytes()) for i, k, v in zip(np.split(ids, cuts), np.split(keys, cuts), np.split(values, cuts), strict=True) if len(i)]
 
 
-def _suffixes(buckets: int, depth: int, gram: int):
+def _suffixes(buckets: int, salts: int, depth: int, gram: int):
     import zstandard
 
     def run(batches):
@@ -277,7 +315,8 @@ def _suffixes(buckets: int, depth: int, gram: int):
             if not len(at):
                 continue
             place = at - chunk.first[doc]
-            late = later_leaves(chunk.words, at, chunk.ids[doc], place, depth, GROUP)
+            ends = np.repeat(chunk.first[1:], np.diff(chunk.first))
+            late = later_leaves(chunk.words, ends, at, chunk.ids[doc], place, depth, GROUP)
             _per_document(chunk, doc[late], place[late], rows)
             at, doc, low, place = at[~late], doc[~late], low[~late], place[~late]
             if len(at):
@@ -291,21 +330,28 @@ def _suffixes(buckets: int, depth: int, gram: int):
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 begin, end = chunk.starts[at[lead]], chunk.ends[at[lead] + count + depth - 2]
+                salt = int(mix64(chunk.ids[:1].view(np.uint64) ^ chunk.keys[:1].view(np.uint64))[0] % np.uint64(salts))
                 for b in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[b] : cuts[b + 1]]
                     texts = b"\n".join(b" ".join(chunk.data[begin[i] : end[i]].split()) for i in own)
-                    head_ = np.concatenate([chunk.ids[doc[lead[own]]], chunk.keys[doc[lead[own]]], place[lead[own]], count[own]]).astype(np.int64).tobytes()
-                    rows.append((int(b), BUCKET, None, None, len(own).to_bytes(8, "little") + packer.compress(head_ + texts)))
+                    heads = np.stack([chunk.ids[doc[lead[own]]], chunk.keys[doc[lead[own]]], place[lead[own]], count[own]])
+                    rows.append((int(b) * salts + salt, BUCKET, None, None, _packed(packer, heads, texts)))
             yield from _rows(rows)
 
     return run
 
 
-def _repeats(depth: int):
+def _packed(packer, heads: np.ndarray, texts: bytes) -> bytes:
+    """Runs of suffixes: ids, keys, places and counts, and the runs' words, a line each."""
+    return heads.shape[1].to_bytes(8, "little") + packer.compress(heads.astype(np.int64).tobytes() + texts)
+
+
+def _repeats(depth: int, salts: int):
+    """Late suffixes of each bucket. With salts, of each salted part of it; runs that hold a part's first suffix go on to the bucket."""
     import zstandard
 
     def run(batches):
-        opener = zstandard.ZstdDecompressor()
+        opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for route, held in _gathered(batches):
             if route is None:
                 yield held
@@ -315,14 +361,19 @@ def _repeats(depth: int):
                 n, data = int.from_bytes(data[:8], "little"), opener.decompress(data[8:])
                 heads.append(np.frombuffer(data, np.int64, 4 * n).reshape(4, n))
                 texts.append(data[32 * n :])
-            ids, keys, place, count = np.concatenate(heads, axis=1)
-            raw = np.frombuffer(b"\n".join(texts), np.uint8)
-            begin, end = word_spans(raw)
+            heads, text = np.concatenate(heads, axis=1), b"\n".join(texts)
+            ids, keys, place, count = heads
+            begin, end = word_spans(raw := np.frombuffer(text, np.uint8))
             words = word_hashes(raw, begin, end)
-            first = np.concatenate([[0], np.cumsum(count + depth - 1)[:-1]])
+            sizes = count + depth - 1
+            first = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(ids)), count)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            late = later_leaves(words, first[owner] + step, ids[owner], place[owner] + step, depth, GROUP)
+            late = later_leaves(words, np.repeat(first + sizes, sizes), first[owner] + step, ids[owner], place[owner] + step, depth, GROUP)
+            if salts:
+                on = np.unique(owner[~late])
+                lines = b"\n".join(text[begin[first[i]] : end[first[i] + sizes[i] - 1]] for i in on)
+                yield from _rows([(route // salts, BUCKET, None, None, _packed(packer, heads[:, on], lines))])
             owner, step = owner[late], step[late]
             yield from _rows(_by_document(ids[owner], keys[owner], place[owner] + step))
 
@@ -343,7 +394,9 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, buck
     release_shuffles(spark)
     marks = marks.groupBy("m_id", "m_key").agg(F.collect_list("data").alias("marks")).hint("shuffle_hash")
     marked = docs.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key"))).select("doc_id", "text_key", "text", "marks")
-    late = _exchange(marked.mapInArrow(_suffixes(buckets, depth, gram), ROUTED), n).mapInArrow(_repeats(depth), ROUTED)
+    salts = max(4, round(n**0.5))
+    parts = _exchange(marked.mapInArrow(_suffixes(buckets, salts, depth, gram), ROUTED), n).mapInArrow(_repeats(depth, salts), ROUTED)
+    late = _exchange(parts, n).mapInArrow(_repeats(depth, 0), ROUTED)
     late = materialise(late.select("doc_id", "text_key", "data"), "repeats")
     release_shuffles(spark)
     return late
