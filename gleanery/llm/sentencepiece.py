@@ -30,6 +30,7 @@ from .common import materialise, partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY = 1 << 18
 LONGEST = 32
+MASKED = 61  # characters whose places fit a long
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -60,6 +61,7 @@ class Pieces:
         self.value = value
         self.rank = {p: -score for p, (_, score) in self.table.items()}
         self.pairs = {p[i : i + 2] for p in self.table for i in range(len(p) - 1)}
+        self.late = {p for p in self.table if self.kind == BPE and len(p) > 1 and not self._whole(p)}
 
     def single(self, ch: str) -> list[int]:
         """Ids of one character: its piece, else its bytes, else unknown."""
@@ -68,16 +70,29 @@ class Pieces:
             return [known[0]]
         return [self.bytes[b] for b in ch.encode()] if len(self.bytes) == 256 else [self.unknown]
 
+    def _whole(self, piece: str) -> bool:
+        """Whether merging a piece's characters by pieces of better rank, each in its turn, gives the piece."""
+        spans = [(self.rank[part], i, j) for i in range(len(piece)) for j in range(i + 2, len(piece) + 1) if (part := piece[i:j]) in self.rank]
+        places = (1 << len(piece) + 1) - 1
+        for rank, i, j in sorted(spans):
+            inside = places & ((1 << j) - (1 << i + 1))
+            if rank <= self.rank[piece] and places >> i & 1 and places >> j & 1 and inside.bit_count() == 1:
+                places -= inside
+        return places == 1 | 1 << len(piece)
+
+    def ids_of(self, parts: list[str]) -> list[int]:
+        """Ids of a word's segments."""
+        return [i for p in parts for i in ([self.table[p][0]] if p in self.table else [j for ch in p for j in self.single(ch)])]
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score."""
-        table = pa.table({"piece": list(self.table), "id": pa.array([i for i, _ in self.table.values()], pa.int32()), "score": pa.array([s for _, s in self.table.values()], pa.float64())})
+        """piece, id, score, late."""
+        table = pa.table({"piece": list(self.table), "id": pa.array([i for i, _ in self.table.values()], pa.int32()), "score": pa.array([s for _, s in self.table.values()], pa.float64()), "late": [p in self.late for p in self.table]})
         return spark.createDataFrame(table)
 
     def encode_word(self, word: str) -> list[int]:
         """The fold over one word in place. In long words, neighbours that no piece holds side by side are cut first."""
-        table = self.table
         if self.kind == BPE and len(word) <= LONGEST * 2:
-            return [i for piece in _merge_short(word, self.rank) for i in ([table[piece][0]] if piece in table else self.single(piece))]
+            return self.ids_of(_merge_short(word, self.rank))
         parts, at = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.pairs:
@@ -85,7 +100,7 @@ class Pieces:
                 at = i
         parts.append(word[at:])
         fold = _merge if self.kind == BPE else _viterbi
-        return [i for part in parts for piece in fold(part, self.table, self.width) for i in ([self.table[piece][0]] if piece in self.table else [j for ch in piece for j in self.single(ch)])]
+        return [i for part in parts for i in self.ids_of(fold(part, self.table, self.width))]
 
     def decode(self, ids) -> str:
         text = b"".join([self.value[i] for i in ids]).decode(errors="replace")
@@ -199,14 +214,45 @@ def lattice(words: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
 
     The piece table is the vocabulary, whose size the model file bounds. Words are exchanged once, before the explosion.
     """
+    edges = _edges(words, pieces, width)
+    edge = F.when(F.col("id").isNotNull(), F.struct("i", "l", "score", "id"))
+    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+
+
+def merge_lattice(words: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
+    """word, edges array<struct<rank, i, ends, inner, late>> of the pieces of two characters or more: the places between characters
+    at their ends and inside, as bits. Words have MASKED characters at most."""
+    edges = _edges(words, pieces, width)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    i, l = F.col("i"), F.col("l")  # noqa: E741
+    edge = F.struct((-F.col("score")).alias("rank"), "i", (bit(i - 1) + bit(i - 1 + l)).alias("ends"), (bit(i + l - 1) - bit(i)).alias("inner"), "late")
+    return edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull() & (l > 1), edge)).alias("edges"))
+
+
+def _edges(words: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
     length = F.length("word")
     spans = F.flatten(
         F.transform(F.sequence(F.lit(1), length), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(width), length - i + 1)), lambda n: F.struct(i.alias("i"), n.alias("l"))))
     )
     parts = words.repartition(partitions(words.sparkSession), "word").select("word", F.explode(spans).alias("s")).select("word", "s.i", "s.l", F.substring("word", F.col("s.i"), F.col("s.l")).alias("part"))
-    edges = parts.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct("i", "l", "score", "id"))
-    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    return parts.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left")
+
+
+def rank_fold(word: Column, edges: Column) -> Column:
+    """The places between a word's segments after all merges, as bits, by one aggregate over its edges, best score first, leftmost first.
+
+    A merge happens if both ends of the piece are places and one place is inside. One turn is enough for pieces that come out
+    whole when they are merged by themselves with better-ranked pieces alone: where such a piece's span is not crossed, its own
+    merges come before its turn. Others are `late`, and words that hold one are left to merge_fold.
+    """
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 1) - 1
+
+    def step(places: Column, e: Column) -> Column:
+        inside = places.bitwiseAND(e["inner"])
+        merges = (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inside) == 1)
+        return F.when(merges, places - inside).otherwise(places)
+
+    return F.aggregate(F.array_sort(edges), start, step)
 
 
 def _let(value: Column, body) -> Column:
@@ -244,27 +290,42 @@ def viterbi_fold(word: Column, edges: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda best: F.element_at(best, -1)["path"])
 
 
+def _named(shared):
+    """word, ids from word and either places (bits) or cuts."""
+
+    def run(batches):
+        pieces = shared.value
+        for batch in batches:
+            made = []
+            for word, places, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = [i for i in range(len(word) + 1) if places >> i & 1] if places is not None else [c - 1 for c in cuts]
+                made.append(pieces.ids_of([word[a:b] for a, b in zip(at, at[1:], strict=False)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return run
+
+
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids array<int> through the relational lattice. A character outside the pieces gives its bytes' ids."""
+    """word, ids array<int> through the relational lattice. A character outside the pieces gives its bytes' ids.
+
+    Of a BPE model, words beyond MASKED characters or with a late piece take the fold over arrays of cuts.
+    """
     spark = words.sparkSession
-    rows = lattice(words, pieces.frame(spark), pieces.width)
-    fold = merge_fold if pieces.kind == BPE else viterbi_fold
-    # written before use, as the optimiser would repeat the fold in each place that reads its result
-    rows = materialise(rows.withColumn("cuts", fold(F.col("word"), F.col("edges"))), "cuts")
-    cuts, edges, word = F.col("cuts"), F.col("edges"), F.col("word")
-    base = min(pieces.bytes.values()) if len(pieces.bytes) == 256 else None
-
-    def ids(k: Column) -> Column:
-        a, b = F.get(cuts, k - 1), F.get(cuts, k)
-        known = F.transform(F.filter(edges, lambda e: (e["i"] == a) & (e["l"] == b - a)), lambda e: e["id"])
-        if base is None:
-            lone = F.array(F.lit(pieces.unknown))
-        else:
-            raw = F.encode(F.substring(word, a, b - a), "UTF-8")
-            lone = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda x: F.conv(F.hex(F.substring(raw, x, F.lit(1))), 16, 10).cast("int") + base)
-        return F.when(F.size(known) > 0, known).otherwise(lone)
-
-    return rows.select("word", F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), ids)).alias("ids"))
+    shared = spark.sparkContext.broadcast(pieces)
+    none = F.lit(None)
+    table = pieces.frame(spark)
+    if pieces.kind == UNIGRAM:
+        rows = lattice(words, table, pieces.width)
+        found = rows.select("word", none.cast("long").alias("places"), viterbi_fold(F.col("word"), F.col("edges")).alias("cuts"))
+    else:
+        # written before use, as the optimiser would repeat the fold in each place that reads its result
+        short = merge_lattice(words.where(F.length("word") <= MASKED), table, pieces.width)
+        late = F.exists("edges", lambda e: e["late"])
+        folded = materialise(short.select("word", F.when(~late, rank_fold(F.col("word"), F.col("edges"))).alias("places")), "places")
+        rest = folded.where("places IS NULL").select("word").unionByName(words.where(F.length("word") > MASKED).select("word"))
+        cut = lattice(rest, table, pieces.width).select("word", none.cast("long").alias("places"), merge_fold(F.col("word"), F.col("edges")).alias("cuts"))
+        found = folded.where("places IS NOT NULL").withColumn("cuts", none.cast("array<int>")).unionByName(cut)
+    return found.mapInArrow(_named(shared), "word string, ids array<int>")
 
 
 def _encoded(shared, keep: bool):

@@ -305,7 +305,7 @@ def test_sentencepiece(spark, docs, empty):
 
     model = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
     pieces = sentencepiece.Pieces()
-    texts = ["a  b\nc\td   e ", "ﬁ ① é", "▁a b", "<s> <0x0A>", "x" * 500, " " * 40 + "y", "日本語テスト", "naïve café 😀"]
+    texts = ["a  b\nc\td   e ", "ﬁ ① é", "▁a b", "<s> <0x0A>", "x" * 500, " " * 40 + "y", "日本語テスト", "naïve café 😀", "a" + " " * 17 + "b", "word" * 30]
     for text in texts:
         ids = [i for w in sentencepiece.words_of(text) for i in pieces.encode_word(w)]
         assert ids == model.encode(text)
