@@ -218,7 +218,7 @@ def _per_document(chunk: _Chunk, docs: np.ndarray, values: np.ndarray, rows: lis
     for own, part in zip(np.split(docs, cuts), np.split(values, cuts), strict=True):
         if len(own):
             i = own[0]
-            rows.append((int(mix64(chunk.ids[i : i + 1].view(np.uint64))[0] >> np.uint64(1)), FOUND, int(chunk.ids[i]), int(chunk.keys[i]), part.tobytes()))
+            rows.append((_spread(chunk.ids[i : i + 1]), FOUND, int(chunk.ids[i]), int(chunk.keys[i]), part.tobytes()))
 
 
 _ENTRY = np.dtype([("value", "<u8"), ("id", "<i8"), ("key", "<i8")])
@@ -291,11 +291,16 @@ def _surviving(batches):
         yield from _rows(_by_document(ids[keep], keys[keep], value[keep]))
 
 
+def _spread(ids: np.ndarray) -> int:
+    """A route for what belongs to a document."""
+    return int(mix64(ids.view(np.uint64))[0] >> np.uint64(1))
+
+
 def _by_document(ids, keys, values):
     order = np.lexsort((keys, ids))
     ids, keys, values = ids[order], keys[order], values[order]
     cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1
-    return [(0, FOUND, int(i[0]), int(k[0]), v.tobytes()) for i, k, v in zip(np.split(ids, cuts), np.split(keys, cuts), np.split(values, cuts), strict=True) if len(i)]
+    return [(_spread(i[:1]), FOUND, int(i[0]), int(k[0]), v.tobytes()) for i, k, v in zip(np.split(ids, cuts), np.split(keys, cuts), np.split(values, cuts), strict=True) if len(i)]
 
 
 def _suffixes(buckets: int, salts: int, depth: int, gram: int):
