@@ -16,9 +16,11 @@ _CLEAN: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own, on a local master alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

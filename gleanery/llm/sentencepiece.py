@@ -11,7 +11,8 @@ then applies the best-scored merge of two neighbouring segments, leftmost first,
 reference library's ids; Viterbi wouldn't.
 
 The encoded dictionary (bounded by DICTIONARY words of at most LONGEST characters) is broadcast. Rarer and longer words
-are encoded where they stand by the same fold over the same piece table, so that whole texts needn't travel.
+are encoded where they stand by the same merges over the same piece table, not through the lattice: the lattice over all
+distinct words is right too, but costs more than the check tool's budget allows (README has the figures).
 """
 
 from __future__ import annotations
