@@ -62,6 +62,11 @@ def tokens(text: Column, unicode: bool = False) -> Column:
     return F.transform(F.filter(raw_words(text, unicode), is_term), stem)
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has; none of them is stemmed. Null gives 0."""
+    return F.coalesce(F.size(F.filter(raw_words(text), is_term)), F.lit(0))
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let, term_rows, tokens, windows
+from ..functions.text import let, term_rows, token_count, tokens, windows
 
 K1, B = 1.5, 0.75
 MIN_RELEVANCE, PER_DOCUMENT = 0.05, 8
@@ -35,7 +35,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc
 
 def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, len: tokens of each document, those without any included. A projection: nothing is exchanged."""
-    return docs.select(id_col, F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).cast("double").alias("len"))
+    return docs.select(id_col, token_count(F.col(text_col)).cast("double").alias("len"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,8 +81,9 @@ FIXTURES = [
 def oracle_sql() -> dict[str, str]:
     """The registered queries' forms."""
     from .derived_sql import derived_sql
+    from .signals_sql import signals_sql
 
-    return {name: sql for name, sql in inline_sql().items() if name not in FIXTURES} | derived_sql()
+    return {name: sql for name, sql in inline_sql().items() if name not in FIXTURES} | derived_sql() | signals_sql()
 
 
 def inline_sql() -> dict[str, str]:

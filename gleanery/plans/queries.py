@@ -19,6 +19,7 @@ from ..sources import schemas
 from ..streaming.pages import cache_live
 from . import derived
 from . import fixtures as X
+from . import signals
 from .retrieve import Engine, best_result, text_block
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -305,4 +306,4 @@ INLINE = ["url_repair", "resolve_budget", "expand_tokens", "robots_allowed", "ro
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES} | derived.queries()
+    return {name: globals()[name] for name in NAMES} | derived.queries() | signals.queries()
