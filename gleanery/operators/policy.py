@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions.text import let
+from ..plans.storage import keep
 
 AGENT = "gleanery"
 MAX_REDIRECTS = 5
@@ -222,23 +223,22 @@ def redirect_chain(starts: DataFrame, redirects: DataFrame, limit: int = MAX_RED
     """url, final_url, hops, error for each start; `redirects` has (from_url, to_url).
 
     LOOP if a URL repeats, TOO_MANY_REDIRECTS beyond `limit` hops, UNSAFE_SCHEME for a target that isn't http(s), SSRF_BLOCKED
-    for a private literal address. `limit` + 1 equi-joins: the depth is bounded, so no recursion is needed.
+    for a private literal address. A redirect is resolved and judged once, whoever follows it; then `limit` + 1 equi-joins: the
+    depth is bounded, so no recursion is needed.
     """
-    step = redirects.select("from_url", "to_url")
+    edges = redirects.where("to_url IS NOT NULL").select("from_url", U.resolve(F.col("to_url"), F.col("from_url")).alias("__target"))
+    private = blocked_ip(F.regexp_replace(U.host(F.col("__target")), r"^\[|\]$", ""))
+    edges = keep(edges.withColumn("__bad", F.when(F.col("__target").isNull(), "UNSAFE_SCHEME").when(private, "SSRF_BLOCKED")))
     rows = starts.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("error"), F.array("url").alias("__seen"))
+    known = F.col("from_url").isNotNull()
     for _ in range(limit + 1):
-        rows = rows.join(step, (F.col("final_url") == F.col("from_url")) & F.col("error").isNull(), "left")
-        rows = rows.withColumn("__target", U.resolve(F.col("to_url"), F.col("final_url")))
+        rows = rows.join(edges, (F.col("final_url") == F.col("from_url")) & F.col("error").isNull(), "left")
+        loop = F.when(F.array_contains("__seen", F.col("__target")), "LOOP")
+        error = F.when(~known, F.col("error")).when(F.col("hops") >= limit, "TOO_MANY_REDIRECTS").otherwise(F.coalesce(loop, F.col("__bad")))
         target = F.col("__target")
-        error = (
-            F.when(F.col("to_url").isNull(), F.col("error"))
-            .when(F.col("hops") >= limit, "TOO_MANY_REDIRECTS")
-            .when(target.isNull(), "UNSAFE_SCHEME")
-            .when(F.array_contains("__seen", target), "LOOP")
-            .when(blocked_ip(F.regexp_replace(U.host(target), r"^\[|\]$", "")), "SSRF_BLOCKED")
-        )
-        moved = F.col("to_url").isNotNull() & error.isNull()
-        rows = rows.select("url", F.when(moved, target).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + moved.cast("int")).alias("hops"), error.alias("error"), F.when(moved, F.concat("__seen", F.array(target))).otherwise(F.col("__seen")).alias("__seen"))
+        moved = known & error.isNull()
+        seen = F.when(moved, F.concat("__seen", F.array(target))).otherwise(F.col("__seen"))
+        rows = rows.select("url", F.when(moved, target).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + moved.cast("int")).alias("hops"), error.alias("error"), seen.alias("__seen"))
     return rows.drop("__seen")
 
 
