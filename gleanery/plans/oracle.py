@@ -78,6 +78,11 @@ FIXTURES = [
 ]
 
 
+_ANSWERS = """WITH a AS (SELECT conv_id * 100 + turn AS query_id, 'https://a.com/' || conv_id AS url, text AS body, CASE WHEN turn % 3 = 0 THEN 0 WHEN conv_id % 2 = 0 THEN 6 ELSE 1 END AS n,
+    CASE WHEN turn % 3 = 0 THEN 'not_found' ELSE 'success' END AS status, turn % 4 <> 0 AS resolved, CASE WHEN turn % 4 <> 0 THEN 'https://a.com/' || conv_id || CASE WHEN turn % 2 = 0 THEN '' ELSE '/new' END END AS resolved_url,
+    CASE WHEN turn % 4 = 0 AND conv_id % 2 = 0 THEN 'no_safe_url_match' END AS reason FROM conversations WHERE text IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The registered queries' forms."""
     from .derived_sql import derived_sql
@@ -170,6 +175,18 @@ def inline_sql() -> dict[str, str]:
         ]),
         "best_call_result": """SELECT conv_id AS tool_call_id, turn AS pos, status FROM (SELECT *, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'success' ELSE 'not_found' END AS status FROM conversations)
           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY status = 'success' DESC, CASE WHEN status = 'success' THEN turn END NULLS LAST, turn % 3 DESC, turn) = 1""",
+        "cached_fetches": """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS k, epoch_us(ts) AS t, event_id % 5 <> 0 AND event_id % 7 * 400000 <= 2097152 AS c FROM events),
+          s(k, t, id) AS (SELECT k, min((t, id))[1], min((t, id))[2] FROM e WHERE c GROUP BY k
+            UNION ALL SELECT s.k, min((e.t, e.id))[1], min((e.t, e.id))[2] FROM s JOIN e ON e.k = s.k AND e.c AND e.t > s.t + 86400000000 GROUP BY s.k)
+          SELECT id AS request_id, EXISTS (SELECT 1 FROM s WHERE s.k = e.k AND (s.t, s.id) < (e.t, e.id) AND e.t <= s.t + 86400000000) AS hit FROM e""",
+        "answer_message": f"""{_ANSWERS} SELECT query_id, concat_ws(chr(10), 'Status: ' || status, 'Sources fetched: ' || n, 'Evidence passages: ' || n,
+            CASE WHEN resolved AND resolved_url <> url THEN 'URL repaired: ' || url || ' → ' || resolved_url END,
+            CASE WHEN n = 0 THEN 'No relevant evidence found.' || CASE WHEN resolved THEN '' ELSE chr(10) || 'URL could not be resolved: ' || coalesce(reason, 'unknown') END
+                 ELSE chr(10) || list_aggregate(list_transform(generate_series(1, n), lambda i: 'Source: ' || url || '/' || i || chr(10) || 'Section: Part' || chr(10) || body || chr(10)), 'string_agg', chr(10)) END) AS text FROM a""",
+        "answer_function": f"""{_ANSWERS} SELECT query_id, CAST(to_json(struct_pack(status := status, query := {_Q}, evidenceCount := n,
+            navigation := json_merge_patch('{{}}', to_json(struct_pack(resolved := resolved, method := CASE WHEN resolved THEN 'exact' ELSE 'none' END, resolvedUrl := resolved_url, reason := reason))),
+            evidence := list_transform(generate_series(1, least(n, 5)), lambda i: struct_pack(sourceUrl := url || '/' || i, text := body, section := 'Part', relevance := i / 8.0::DOUBLE)))) AS VARCHAR) AS json FROM a""",
+        "answer_rpc": f"""{_ANSWERS} SELECT query_id, CAST(to_json(struct_pack(jsonrpc := '2.0', id := query_id, result := struct_pack(content := [struct_pack(type := 'text', text := CAST(to_json(struct_pack(status := status, query := {_Q})) AS VARCHAR))]))) AS VARCHAR) AS json FROM a""",
         "cache_ttl": "SELECT user_id AS key, max(ts) AS stored_at FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 30 DAY > (SELECT max(ts) FROM events)",
         "host_gap": """SELECT event_id AS request_id, CAST(trunc((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000) AS BIGINT) AS gap_ms, coalesce(CAST(trunc((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000) AS BIGINT) < 500, false) AS too_soon
           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",

@@ -16,11 +16,13 @@ from ..operators import evidence as E
 from ..operators import policy as R
 from ..sources import formats as S
 from ..sources import schemas
-from ..streaming.pages import cache_live
+from ..streaming.pages import cache_live, cacheable
+from ..streaming.pages import cached_fetches as replayed
 from . import derived
 from . import fixtures as X
 from . import signals
-from .retrieve import Engine, best_result, text_block
+from .retrieve import Engine, best_result, function_answer, message_text, rpc_reply, text_block
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -290,6 +292,39 @@ def cache_ttl(spark, sf_dir):
     return cache_live(events, F.lit(str(newest)).cast(events.schema["stored_at"].dataType)).select("key", "stored_at")
 
 
+def cached_fetches(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 5 == 0, 404).otherwise(200)
+    size = F.col("event_id") % 7 * 400_000
+    log = events.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), "ts", cacheable(status, F.lit("text/html"), size, M.HTML_LIMIT).alias("cacheable"))
+    return replayed(log, 86_400).select("request_id", "hit")
+
+
+def _answers(spark, sf_dir):
+    """Results made of conversations: a turn's text is the evidence, six times over where the conversation's number is even."""
+    key, turn = F.col("conv_id"), F.col("turn")
+    asked = F.concat(F.lit("https://a.com/"), key.cast("string"))
+    item = lambda i: F.struct(i.alias("rank"), F.concat(asked, F.lit("/"), i.cast("string")).alias("source_url"), F.col("text").alias("text"), F.lit("Part").alias("section"), (i / F.lit(8.0)).alias("relevance"))
+    evidence = F.when(turn % 3 == 0, F.array().cast("array<struct<rank:int,source_url:string,text:string,section:string,relevance:double>>")).otherwise(F.transform(F.sequence(F.lit(1), F.when(key % 2 == 0, 6).otherwise(1)), item))
+    there = turn % 4 != 0
+    nav = F.struct(there.alias("resolved"), F.when(there, "exact").otherwise("none").alias("method"), F.when(there, F.when(turn % 2 == 0, asked).otherwise(F.concat(asked, F.lit("/new")))).alias("resolved_url"), F.when(~there & (key % 2 == 0), "no_safe_url_match").alias("reason"))
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    status = F.when(F.size(evidence) > 0, "success").otherwise("not_found")
+    return rows.select((key * 100 + turn).alias("query_id"), asked.alias("url"), F.lit(X.QUERY).alias("query"), status.alias("status"), nav.alias("navigation"), F.transform(evidence, lambda e: e["source_url"]).alias("sources"), evidence.alias("evidence"))
+
+
+def answer_message(spark, sf_dir):
+    return message_text(_answers(spark, sf_dir))
+
+
+def answer_function(spark, sf_dir):
+    return function_answer(_answers(spark, sf_dir))
+
+
+def answer_rpc(spark, sf_dir):
+    return rpc_reply(_answers(spark, sf_dir).select("query_id", "status", "query"))
+
+
 def host_gap(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("host"), "ts")
     return R.host_gaps(log).select("request_id", "gap_ms", "too_soon")
@@ -299,6 +334,7 @@ NAMES = [
     "tokenize_terms", "term_df", "bm25_corpus", "bm25_passages", "passage_windows", "dedupe_passages", "evidence_top10_diverse", "source_relevance", "score_source", "normalise_url", "dedupe_urls", "url_origin_counts",
     "url_depth", "url_score", "recency_score", "page_title", "page_links", "same_origin_links", "anchor_overlap", "candidate_rank", "stop_prefix", "budget_cut", "path_similarity", "infer_mode", "domain_policy",
     "json_flatten", "json_paths", "bare_url_links", "strip_tags", "retrieve_results", "tool_text", "best_call_result", "cache_ttl", "host_gap",
+    "cached_fetches", "answer_message", "answer_function", "answer_rpc",
 ]
 
 

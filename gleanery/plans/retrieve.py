@@ -208,10 +208,42 @@ def text_block(results: DataFrame) -> DataFrame:
     return results.select("query_id", F.concat_ws("\n", head, moved, rest).alias("text"))
 
 
+def message_text(results: DataFrame) -> DataFrame:
+    """query_id, text: a result as a short message: status, counts, a repaired URL, then each piece of evidence under its source."""
+    n = lambda c: F.size(F.coalesce(c, F.array())).cast("string")
+    nav = F.col("navigation")
+    found = F.coalesce(nav["resolved"], F.lit(False))
+    head = [F.concat(F.lit("Status: "), F.col("status")), F.concat(F.lit("Sources fetched: "), n("sources")), F.concat(F.lit("Evidence passages: "), n("evidence"))]
+    repaired = F.when(found & (nav["resolved_url"] != F.col("url")), F.concat(F.lit("URL repaired: "), F.col("url"), F.lit(" → "), nav["resolved_url"]))
+    lost = F.when(~found, F.concat(F.lit("URL could not be resolved: "), F.coalesce(nav["reason"], F.lit("unknown"))))
+    section = lambda e: F.when(F.length(e["section"]) > 0, F.concat(F.lit("Section: "), e["section"]))
+    items = F.array_join(F.transform("evidence", lambda e: F.concat_ws("\n", F.lit(""), F.concat(F.lit("Source: "), e["source_url"]), section(e), e["text"])), "\n")
+    none = F.size(F.coalesce("evidence", F.array())) == 0
+    rest = F.when(none, F.concat_ws("\n", F.lit("No relevant evidence found."), lost)).otherwise(F.concat(items, F.lit("\n")))
+    return results.select("query_id", F.concat_ws("\n", *head, repaired, rest).alias("text"))
+
+
+def function_answer(results: DataFrame, keep: int = 5) -> DataFrame:
+    """query_id, json: a result as the object of a function's response, with its first `keep` pieces of evidence. Null fields are left out."""
+    nav = F.col("navigation")
+    evidence = F.transform(F.slice(F.col("evidence"), 1, keep), lambda e: F.struct(e["source_url"].alias("sourceUrl"), e["text"].alias("text"), e["section"].alias("section"), e["relevance"].alias("relevance")))
+    nav = F.struct(nav["resolved"].alias("resolved"), nav["method"].alias("method"), nav["resolved_url"].alias("resolvedUrl"), nav["reason"].alias("reason"))
+    count = F.size(F.coalesce("evidence", F.array())).alias("evidenceCount")
+    return results.select("query_id", F.to_json(F.struct("status", "query", count, nav.alias("navigation"), F.coalesce(evidence, F.array()).alias("evidence"))).alias("json"))
+
+
+def rpc_reply(results: DataFrame, call_id: str = "query_id") -> DataFrame:
+    """query_id, json: a result as the JSON-RPC reply to a tool call, its JSON as the one text of the content."""
+    made = json_result(results).withColumnRenamed("json", "__json")
+    rows = made if call_id == "query_id" else made.join(results.select("query_id", call_id), "query_id")
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("__json").alias("text")))
+    return rows.select("query_id", F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col(call_id).alias("id"), F.struct(content.alias("content")).alias("result"))).alias("json"))
+
+
 def json_result(results: DataFrame, keep: int | None = None) -> DataFrame:
     """query_id, json: a result as JSON, with its first `keep` pieces of evidence."""
     rows = results if keep is None else results.withColumn("evidence", F.slice("evidence", 1, keep))
     return rows.select("query_id", F.to_json(F.struct(*[c for c in rows.columns if c != "query_id"])).alias("json"))
 
 
-__all__ = ["Engine", "best_result", "json_result", "repair_urls", "text_block", "url_arguments"]
+__all__ = ["Engine", "best_result", "function_answer", "json_result", "message_text", "repair_urls", "rpc_reply", "text_block", "url_arguments"]

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from gleanery.plans import derived, oracle, queries, signals
 
 SF = "/root/testdata/sf0.001"
-FAST = ["bm25_corpus", "normalise_url", "page_links", "bm25_passages", *derived.NAMES, *signals.NAMES]
+FAST = ["cached_fetches", "answer_message", "answer_function", "answer_rpc", "bm25_corpus", "normalise_url", "page_links", "bm25_passages", *derived.NAMES, *signals.NAMES]
 TABLES = ("documents", "pages", "conversations", "events", "orders", "customer", "supplier", "part", "benchmark")
 
 
