@@ -86,7 +86,7 @@ class _Best:
             self.entries()
 
     def entries(self) -> tuple[np.ndarray, ...]:
-        if not self.held:
+        if not self.size:
             return (np.zeros(0, np.int64),) * 4
         query, vec, order, total = (np.concatenate(c) for c in zip(*self.held, strict=True))
         by = np.lexsort((-order, vec, query))
