@@ -59,7 +59,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     `taken` = repetitions * size + partial words. Null or empty texts have size 0 and take nothing; a source of
     size 0 has target 0; null is a source of its own; repeated rows count each. The seeded order is by a hash of
-    id and size, so reruns agree; rows alike in both are interchangeable. Other columns are ignored.
+    id and size, so reruns agree; rows alike in both are interchangeable. Other columns are ignored. Texts of any
+    length are counted whole; an empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     return _decided(rows, ["__order", "doc_id"], weights, max_epochs, seed)

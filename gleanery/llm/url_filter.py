@@ -106,7 +106,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float
 
     `labels` has (id, bad): the outcome of some pages; several outcomes of one page count as its mean rounded
     down, null outcomes as none. Null urls and urls without :// have empty host and path, are judged as
-    host "", and keep their row. Repeated rows are kept. Other columns are ignored.
+    host "", and keep their row. Repeated rows are kept. Other columns are ignored. Urls of any length are read
+    whole; an empty `pages` gives no rows; without outcomes every prior is even and nothing beyond the rules is blocked.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -132,7 +133,8 @@ r AS (SELECT *, CASE
    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
 o AS (SELECT host, floor(l.bad) AS bad FROM p LEFT JOIN (SELECT doc_id, avg(1 - quality) AS bad FROM labels GROUP BY 1) l ON l.doc_id = p.page_id),
 h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, string_split(host, '.') AS parts FROM o GROUP BY host),
-h AS (SELECT host, n, bad, parts[-1] AS suffix, CASE WHEN len(parts) <= 2 THEN host ELSE parts[-2] || '.' || parts[-1] END AS domain FROM h0),
+h1s AS (SELECT *, CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS wide FROM h0),
+h AS (SELECT host, n, bad, array_to_string(parts[-wide:], '.') AS suffix, CASE WHEN len(parts) <= wide + 1 THEN host ELSE array_to_string(parts[-wide - 1:], '.') END AS domain FROM h1s),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 s1 AS (SELECT *, (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) FROM s) AS p0 FROM s),

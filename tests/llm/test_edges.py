@@ -99,6 +99,17 @@ def test_url_filter_agrees_with_its_sql_on_ties_repeats_and_long_urls(spark):
     assert all(v == "allow" for *_, v in url_filter.filter_urls(pages, labels.limit(0)).collect())
 
 
+def test_second_level_suffixes_share_no_reputation(spark):
+    pages = [(i, f"http://bad{i % 5}.co.uk/{i}") for i in range(40)] + [(100 + i, f"http://good{i % 5}.com.au/{i}") for i in range(40)] + [(200, "http://new.co.uk/"), (201, "http://new.com.au/"), (202, "http://new.uk/"), (203, "http://co.uk/")]
+    outcomes = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)]
+    got = [tuple(r) for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "id long, bad int")).collect()]
+    assert {r[0]: r[4] for r in got if r[0] >= 200} == {200: "block", 201: "allow", 202: "allow", 203: "allow"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT unnest($1) AS page_id, unnest($2) AS url", [[i for i, _ in pages], [u for _, u in pages]])
+    con.execute("CREATE TABLE labels AS SELECT unnest($1) AS doc_id, unnest($2) AS quality", [[i for i, _ in outcomes], [1 - bad for _, bad in outcomes]])
+    assert sorted(got, key=str) == sorted(con.execute(url_filter.OP7_SQL).fetchall(), key=str)
+
+
 def test_one_very_long_turn_and_nulls(spark):
     rows = [(1, 0, "user", LONG), (1, 1, "assistant", LONG + " </s>"), (1, 2, None, None), (2, None, "assistant", "a"), (2, None, "assistant", "a")]
     formatted = chat.format_conversations(spark.createDataFrame([(*r, "x", 7) for r in rows], "conv_id long, turn int, role string, text string, ids string, n_turns int"))
